@@ -6,9 +6,12 @@ bounded number of bytes, so that a Python worker's memory does not depend on the
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +58,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers that have no copy on their path."""
+    sc, parent = spark.sparkContext, Path(__file__).resolve().parents[2]
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if parent in on_path or getattr(sc, "_tidemark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-"), "tidemark_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((parent / "tidemark").rglob("*.py")):
+            z.write(f, f.relative_to(parent))
+    sc.addPyFile(str(archive))
+    sc._tidemark_shipped = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small, unless the session has chosen a size itself."""
+    """Keep Arrow batches of whole texts small, unless the session has chosen a size itself; ship the package."""
+    ship_package(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
