@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import exact_dedup, minhash_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 
 ORACLES = {
