@@ -5,22 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, minhash_dedup, mixing, pieces, toxicity
 from tidemark.llm.common import read_table, stage
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (one column, doc_id)."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.5 stay; the model is fitted on labelled documents of this stage's input."""
+    scored = toxicity.score(docs, toxicity.train(spark, docs, sf_dir))
+    return _only(docs, scored.where("score < 0.5"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return _only(docs, minhash_dedup.minhash_dedup(docs).where("kept"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: up to twice, or not at all where its source's target is below its size."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("mixing", mix_to_weights)]
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids and round_trip of each row of the mix."""
+    return pieces.encode(docs, pieces.Pieces.read(pieces.DEFAULT_MODEL))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("minhash_dedup", drop_near_copies),
+    ("mixing", mix_to_weights),
+    ("pieces", to_pieces),
+]
 
-#: SQL cannot express the learned and seeded stages; tests compare them with brute-force versions.
+#: SQL cannot express the fitted and seeded stages; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
