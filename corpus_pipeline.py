@@ -17,8 +17,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5 stay; the model is fitted on labelled documents of this stage's input."""
-    scored = toxicity.score(docs, toxicity.train(spark, docs, sf_dir))
-    return _only(docs, scored.where("score < 0.5"))
+    return toxicity.clean(docs, toxicity.train(spark, docs, sf_dir))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,6 +225,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "doc_id long, score double, passages array<struct<start:long,end:long,evidence:double>>")
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under limit, all columns unchanged; nothing is shuffled."""
+    arrow_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = texts(batch.column(place))
+            good = []
+            for i, j in pieces(offsets):
+                for _, n, found in passages(model, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    x = model.slope * _evidence(model, n, found) + model.bias
+                    good.append(1 / (1 + math.exp(-min(max(x, -30), 30))) < limit)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
