@@ -6,6 +6,7 @@ bounded number of bytes, so that a Python worker's memory does not depend on the
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the JVM collect garbage, so that Spark's cleaner deletes the shuffle files of finished steps now and not at its own time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers that have no copy on their path."""
     sc, parent = spark.sparkContext, Path(__file__).resolve().parents[2]

@@ -7,8 +7,9 @@ phrase, and equal windows have equal triggers at equal places: to find repeats o
 need comparing. A phrase row is (g: hash of the trigger, c: independent hash of the phrase, document, start, n
 windows). Phrases that occur once, of triggers that occur once, have no repeated window; equal phrases
 (the same trigger and phrase) repeat all their windows; only for triggers with different phrases are
-windows told apart one by one, for one occurrence of each phrase. Rows are combined in each piece of input before
-any shuffle, all joins are on hashes, and no step holds a group in memory.
+windows told apart one by one, for one occurrence of each phrase: the phrases themselves are brought together by
+trigger and their windows compared in memory, or, for triggers with more than MANY phrases, by an aggregation
+over rows of windows. Rows are combined in each piece of input before any shuffle, and all joins are on hashes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, mix, pieces, stage, texts, word_spans
+from .common import Poly, arrow_batches, discard, mix, pieces, release, stage, texts, word_spans
 
+#: A trigger with more different phrases is not held in one task's memory (a phrase is under 600 bytes).
+MANY = 2000
 _LOW = np.uint64(0xFFFFFFFF)
 _TRIGGER, _PHRASE, _LETTERS = Poly(31), Poly(32), Poly(33)
 
@@ -136,38 +139,106 @@ def _phrase_rows(unit: Unit) -> Callable:
     return run
 
 
-def _window_rows(unit: Unit) -> Callable:
-    """The windows of the asked phrases, in the same form: c is the window's hash."""
+_BODY = "doc long, start int, n int, g long, cnt int, old boolean, many boolean, body binary"
+
+
+def _bodies(unit: Unit) -> Callable:
+    """The asked phrases themselves: a word is its 64-bit code, a byte is itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            old = batch.column(1).to_numpy(zero_copy_only=False)
+            ids, old = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             buf, offsets = texts(batch.column(2))
-            asked, of = batch.column(3), np.asarray(batch.column(3).offsets)
-            fields = asked.values
-            start, n, g, cnt = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "g", "cnt"))
+            of, fields = np.asarray(batch.column(3).offsets), batch.column(3).values
+            start, n, g, cnt, many = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "g", "cnt", "many"))
             for i, j in pieces(offsets, unit.piece):
-                codes, bounds = unit.symbols(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                prefix = _PHRASE.prefix(codes)
+                part, cut = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                codes, bounds = unit.symbols(part, cut) if unit.words else (part, cut)
                 lo, hi = of[i], of[j]
                 d = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
-                size = n[lo:hi].astype(np.int64)
-                at = np.repeat(np.cumsum(size) - size, size)
-                rel = np.repeat(start[lo:hi].astype(np.int64), size) + np.arange(len(at)) - at
-                d = np.repeat(d, size)
-                p = bounds[d] + rel
-                key, times = np.repeat(g[lo:hi], size).view(np.uint64), np.repeat(cnt[lo:hi], size)
-                c = _PHRASE.spans(prefix, p, p + unit.win)
-                doc, was = ids[i:j][d], old[i:j][d]
-                first, count, rest = _combine((key, c), (~was, doc, rel))
-                # a window that another phrase of this piece has, or that its own phrase has elsewhere, is repeated
-                most = np.maximum.reduceat(times[np.lexsort((rel, doc, ~was, c, key))], np.cumsum(count) - count) if len(first) else times[:0]
-                yield _rows(doc[first], rel[first], np.ones(len(first)), key[first], c[first], np.minimum(np.maximum(count, most), 2), was[first])
-                rest = rest[~was[rest]]
+                size = n[lo:hi].astype(np.int64) + unit.win - 1
+                at = np.concatenate([[0], np.cumsum(size)])
+                flat = codes[np.repeat(bounds[d] + start[lo:hi] - at[:-1], size) + np.arange(at[-1])]
+                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at * flat.itemsize).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d]), pa.array(start[lo:hi]), pa.array(n[lo:hi]), pa.array(g[lo:hi]), pa.array(cnt[lo:hi]), pa.array(old[i:j][d].astype(bool)), pa.array(many[lo:hi].astype(bool)), body], names=[f.split()[0] for f in _BODY.split(", ")])
+
+    return run
+
+
+def _windows(batch: pa.RecordBatch, unit: Unit) -> tuple[np.ndarray, ...]:
+    """Document, place, trigger, hash, number of occurrences and age of each window of a batch of bodies."""
+    buf, offsets = texts(batch.column("body"))
+    codes, bounds = (buf.view(np.uint64), offsets // 8) if unit.words else (_LETTERS.codes[buf], offsets)
+    doc, start, n, g, cnt, old = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "start", "n", "g", "cnt", "old"))
+    size = n.astype(np.int64)
+    row = np.repeat(np.arange(len(n)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    p = bounds[:-1][row] + at
+    c = _PHRASE.spans(_PHRASE.prefix(codes), p, p + unit.win)
+    return doc[row], start.astype(np.int64)[row] + at, g.view(np.uint64)[row], c, cnt[row].astype(np.int64), old[row].astype(bool)
+
+
+def _within_triggers(unit: Unit, keep_first: bool, most: int = 1 << 22) -> Callable:
+    """Over bodies sorted by trigger: the ranges of repeated windows. Whole triggers are taken together, up to `most` bytes or one trigger."""
+
+    def ranges(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, at, g, c, cnt, old = _windows(batch, unit)
+        if not len(doc):
+            return
+        order = np.lexsort((at, doc, old == 0, c, g))
+        new = np.ones(len(order), bool)
+        new[1:] = (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1])
+        head = np.flatnonzero(new)
+        total = np.add.reduceat(cnt[order], head)
+        twice = np.repeat(total >= 2, np.diff(np.append(head, len(order))))
+        found = order[twice & ~new] if keep_first else order[twice]
+        found = found[~old[found]]
+        d, s, n = _merge(doc[found], at[found], np.ones(len(found), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "start", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            held = table.to_batches()[0] if table.num_rows else None
+            if held is None or held.nbytes < most:
+                continue
+            g = held.column("g").to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(g, g[-1]))  # the last trigger may go on in the next batch
+            for i in range(0, last, 4096):  # small steps, cut between triggers
+                i = i if i == 0 else int(np.searchsorted(g, g[i]))
+                j = last if i + 4096 >= last else int(np.searchsorted(g, g[i + 4096]))
+                if j > i:
+                    yield from ranges(held.slice(i, j - i))
+            held = held.slice(last)
+        if held is not None:
+            g = held.column("g").to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(g):
+                j = len(g) if i + 4096 >= len(g) else int(np.searchsorted(g, g[i + 4096]))
+                j = j if j > i else int(np.searchsorted(g, g[i], "right"))
+                yield from ranges(held.slice(i, j - i))
+                i = j
+
+    return run
+
+
+def _one_by_one(unit: Unit) -> Callable:
+    """Every window of the bodies as a row, combined within the batch: for triggers with very many phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                doc, at, g, c, cnt, old = _windows(whole.slice(i, 1024), unit)
+                first, count, rest = _combine((g, c), (~old, doc, at))
+                if not len(first):
+                    continue
+                most = np.maximum.reduceat(cnt[np.lexsort((at, doc, ~old, c, g))], np.cumsum(count) - count)
+                yield _rows(doc[first], at[first], np.ones(len(first)), g[first], c[first], np.minimum(np.maximum(count, most), 2), old[first])
+                rest = rest[~old[rest]]
                 if len(rest):
-                    dm, sm, nm = _merge(doc[rest], rel[rest], np.ones(len(rest), np.int64))
-                    yield _rows(dm, sm, nm, None, None, np.ones(len(dm)))
+                    d, s, n = _merge(doc[rest], at[rest], np.ones(len(rest), np.int64))
+                    yield _rows(d, s, n, None, None, np.ones(len(d)))
 
     return run
 
@@ -177,33 +248,46 @@ def phrase_table(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(_phrase_rows(unit), _ROW)
 
 
-def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool) -> tuple[DataFrame, list[DataFrame]]:
+def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
     """Ranges (doc, start, n) of the starts of repeated windows; with keep_first, a window's first occurrence is not one.
 
     rows is a staged phrase_table, with phrases of earlier documents marked old; docs has the texts (doc, old, text) of
-    all documents that rows mention. Also returns the staged tables that the ranges read.
+    all documents that rows mention. The result is a staged table; rows is no longer needed.
     """
-    here = rows.where("g is not null")
-    shared = here.groupBy("g").agg(F.sum("cnt").alias("occ"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("occ >= 2").select("g", (F.col("lo") != F.col("hi")).alias("mixed"))
+    spark, here = docs.sparkSession, rows.where("g is not null")
+    shared = here.groupBy("g").agg(F.sum("cnt").alias("occ")).where("occ >= 2").select("g")
     near = stage(here.join(shared, "g"), "repeats-near")
+    release(spark)
     order = lambda *more: F.struct((~F.col("old")).alias("new"), "doc", "start", *more)
-    classes = stage(near.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.min(order("n")).alias("first"), F.max("mixed").alias("mixed")).where("total >= 2 or mixed"), "repeats-classes")
+    classes = stage(near.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.min(order("n")).alias("first")), "repeats-classes")
     at_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
 
     def others(part: DataFrame, whole: DataFrame) -> DataFrame:
         met = part.where("not old").join(whole.where("total >= 2").select("g", "c", "first"), ["g", "c"])
         return (met.where(~at_first) if keep_first else met).select("doc", "start", "n")
 
-    asked = classes.where("mixed").select("first.doc", F.struct("first.start", "first.n", "g", F.least("total", F.lit(1 if keep_first else 2)).cast("int").alias("cnt")).alias("one"))
+    equal = stage(others(near, classes), "repeats-equal")
+    discard(near)
+    release(spark)
+    mixed = classes.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", (F.col("m") > MANY).alias("many"))
+    times = F.lit(1) if keep_first else F.least("total", F.lit(2))
+    asked = classes.join(mixed, "g").select("first.doc", F.struct("first.start", "first.n", "g", times.cast("int").alias("cnt"), "many").alias("one"))
     wanted = asked.groupBy("doc").agg(F.collect_list("one").alias("asked"))
-    windows = stage(docs.join(wanted, "doc").select("doc", "old", "text", "asked").mapInArrow(_window_rows(unit), _ROW), "repeats-windows")
+    bodies = stage(docs.join(wanted, "doc").select("doc", "old", "text", "asked").mapInArrow(_bodies(unit), _BODY), "repeats-bodies")
+    discard(classes)
+    release(spark)
+    few = bodies.where("not many").repartition("g").sortWithinPartitions(F.col("g")).mapInArrow(_within_triggers(unit, keep_first), "doc long, start int, n int")
+    windows = stage(bodies.where("many").mapInArrow(_one_by_one(unit), _ROW), "repeats-windows")
     single = windows.where("g is not null")
     same = single.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.min(order()).alias("first")).where("total >= 2")
-    parts = [rows.where("g is null"), others(near, classes), windows.where("g is null"), others(single, same)]
+    parts = [rows.where("g is null"), equal, few, windows.where("g is null"), others(single, same)]
     out = parts[0].select("doc", "start", "n")
     for p in parts[1:]:
         out = out.unionAll(p.select("doc", "start", "n"))
-    return out, [near, classes, windows]
+    out = stage(out, "repeats-ranges")
+    discard(equal, bodies, windows)
+    release(spark)
+    return out
 
 
 def finish(docs: DataFrame, ranges: DataFrame, unit: Unit, kernel: Callable, schema: str) -> DataFrame:

@@ -63,11 +63,11 @@ class FingerprintIndex:
                 known = known.unionAll(m)
             both = rows.unionByName(known.select("*", F.lit(1).alias("cnt"), F.lit(True).alias("old")))
             texts = texts.unionAll(self.history.select("doc", F.lit(True).alias("old"), "text"))
-        ranges, used = repeated(both, texts, WORDS, keep_first=True)
+        ranges = repeated(both, texts, WORDS, keep_first=True)
         out = stage(finish(batch, ranges, WORDS, _kernel(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text), "op1-result")
         self.runs.append(self._write(fresh))
         self.history = batch.select("doc", "text") if self.history is None else self.history.unionAll(batch.select("doc", "text"))
-        discard(rows, *used)
+        discard(rows, ranges)
         if len(self.runs) > self.max_runs:
             self.compact()
         return out

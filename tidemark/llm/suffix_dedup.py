@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import discard, read_table, stage
 from .repeats import BYTES, covered, finish, identified, phrase_table, repeated
 
 
@@ -50,7 +50,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = identified(docs, id_col, text_col)
     parse = stage(phrase_table(rows, BYTES), "op4-parse")
-    ranges, _ = repeated(parse, rows.withColumn("old", F.lit(False)), BYTES, keep_first=False)
+    ranges = repeated(parse, rows.withColumn("old", F.lit(False)), BYTES, keep_first=False)
+    discard(parse)
     return finish(rows, ranges, BYTES, _kernel(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
