@@ -123,7 +123,7 @@ def importance_sample(docs: DataFrame, good: DataFrame, keep: float, id_col: str
             out = []
             for i, j in pieces(offsets):
                 bucket, d = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out.append(np.bincount(d, odds[bucket], j - i))
+                out.append(np.bincount(d, odds[bucket], j - i).astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "log_weight"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
