@@ -123,6 +123,7 @@ def test_commands(spark):
 def test_range_and_latest_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([(0, "k", 1, 0, 1.0)], LOG).write.parquet(str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = visibility.live(log.where("user_key >= 'a' and user_key < 'm'"), 5)._jdf.queryExecution().toString()
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line][-1]
     assert "GreaterThanOrEqual(user_key,a)" in pushed and "LessThanOrEqual(seq,5)" in pushed and "(op" not in pushed
