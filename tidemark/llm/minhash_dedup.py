@@ -5,10 +5,11 @@ one further permutation pi at sigma(x) + k, that is, of pi shifted circularly by
 coordinates. 24 bands of 4 coordinates miss a pair of similarity 0.85 with probability (1 - 0.85^4)^24 = 2e-8.
 
 Rows with equal shingle sets are one class, and only class representatives go on. Buckets are never expanded into all
-their pairs: in each round every bucket compares one pivot with its other members by their full sets, and members that are
-already in the pivot's component are left out. After star_rounds rounds, the pairs of a bucket whose components still
-differ are compared as well, but for those that the sizes, or the triangle inequality of the Jaccard distance with the distances
-to the bucket's first pivot, rule out. So every candidate pair is compared, ruled out exactly, or already connected.
+their pairs: in each round every bucket compares one pivot, the member that meets the most others, with its other
+members by their full sets, and members that are already in the pivot's component are left out. After star_rounds
+rounds, members whose components still differ are paired by what sets them apart from the bucket's first pivot
+(`_by_deltas`), which rules out nearly all pairs of a group that share a passage or a common origin but are not similar
+enough. So every candidate pair is compared, ruled out exactly, or already connected.
 Components come from label propagation with pointer jumping in staged tables.
 """
 
@@ -121,6 +122,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", (100 * F.col("i") >= percent * union).alias("link"), (1 - F.col("i") / union).alias("far"))
 
 
+def _by_deltas(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one pivot's members (pivot, doc, n, comp, home) that may still be linked, by what sets them apart from the pivot.
+
+    Let D be a member's symmetric difference with the pivot's set and t = 1 - percent / 100. Linked x and y differ in at
+    most t / (1 - t) |x| shingles, and the symmetric difference of their D is their own. If x is not in the pivot's
+    component, |D(x)| > t |pivot|, and D(x) and D(y) have at least o > 0 elements in common, o as below. So the
+    rarest common element is among the |D| - o + 1 rarest of each: only members that meet there are paired. Where it is
+    the i-th and j-th of the two, what comes after must still hold o - 1 common elements.
+    """
+    t = (100 - percent) / 100
+    r, tiny = t / (1 - t), 1e-6
+    one = members.groupBy("pivot", "doc").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("home")).alias("out"))
+    of = lambda c: sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s_{c}"))
+    delta = F.concat(F.array_except("s_doc", "s_pivot"), F.array_except("s_pivot", "s_doc"))
+    apart = stage(one.join(of("doc"), "doc").join(of("pivot"), "pivot").select("pivot", "doc", "n", "comp", "out", F.size("s_pivot").alias("np"), delta.alias("d")), "op10-deltas")
+    each = apart.select("pivot", "doc", F.explode("d").alias("s"))
+    often = each.groupBy("pivot", "s").agg(F.count("*").alias("df")).where("df > 1")  # an element of one member alone joins nothing, but counts as rare
+    rank = each.join(often, ["pivot", "s"], "left").groupBy("pivot", "doc").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("all"))
+    size, over = F.size("all"), F.size("all") - r * F.col("n") - tiny
+    as_x = size - F.greatest(F.lit(1), F.ceil(over)) + 1
+    as_y = size - F.greatest(F.lit(1), F.ceil(over), F.ceil((over + t * F.col("np")) / 2)) + 1
+    placed = apart.drop("d").join(rank, ["pivot", "doc"])
+    rare = stage(placed.select("pivot", "doc", "n", "comp", "out", as_x.alias("kx"), as_y.alias("ky"), size.alias("d"), F.posexplode("all").alias("i", "e")).where("i < greatest(kx, ky) and e.df > 1").select("pivot", "doc", "n", "comp", "out", "i", "d", "kx", "ky", "e.s"), "op10-rare")
+    discard(apart)
+    left = rare.where("out and i < kx").select("pivot", "s", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("i").alias("ai"), F.col("d").alias("ad"))
+    right = rare.where("i < ky").select("pivot", "s", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("i").alias("bi"), F.col("d").alias("bd"))
+    enough = 2 * F.least(F.col("ad") - F.col("ai"), F.col("bd") - F.col("bi")) >= F.col("ad") + F.col("bd") - r * F.least("an", "bn") - tiny
+    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    return left.join(right, ["pivot", "s"]).where((F.col("ac") != F.col("bc")) & close & enough).select("a", "b")
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = 24, rows: int = 4, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each input row.
 
@@ -134,8 +166,14 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = ["n", "s1", "s2"]
     members = stage(sig.drop("bands").join(sig.where("n > 0").groupBy(same).agg(F.min("doc").alias("rep")), same, "left").select("doc", "doc_id", "n", F.coalesce("rep", "doc").alias("rep")), "op10-members")
     reps = sig.join(members.where("doc = rep and n > 0").select("doc"), "doc").select("doc", "n", F.explode("bands").alias("key"))
-    full = reps.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("pivot")).where("m > 1").select("key", "pivot")
-    bucket = stage(reps.join(full, "key"), "op10-buckets")
+    full = reps.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stage(reps.join(full, "key"), "op10-shared")
+    # the member that meets the most others in all its buckets is the likeliest centre of a group of copies
+    central = shared.groupBy("doc").agg(F.sum("m").alias("met"))
+    weighed = stage(shared.drop("m").join(central, "doc"), "op10-weighed")
+    best = lambda: F.max(F.struct("met", (-F.col("doc")).alias("early"))).alias("best")
+    bucket = stage(weighed.join(weighed.groupBy("key").agg(best()), "key").select("key", "doc", "n", "met", (-F.col("best.early")).alias("pivot")), "op10-buckets")
+    discard(shared, weighed)
     sets = stage(texts_of.join(bucket.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(_sets, "doc long, shingles array<long>"), "op10-sets")
     discard(sig)
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -181,7 +219,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         m = stage(placed(), "op10-placed")
         home = m.where("doc = pivot").select("key", F.col("comp").alias("home"))
         free = m.join(used, ["key", "doc"], "left_anti").join(home, "key").where("comp != home")
-        chosen = free.groupBy("key").agg(F.min(F.struct("doc", "n", "comp", "far")).alias("p"))
+        chosen = free.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc")).alias("early"), "doc", "n", "comp", "far")).alias("p"))
         met = m.join(chosen, "key").where((F.col("comp") != F.col("p.comp")) & alike(F.col("n"), F.col("p.n")) & ~apart(F.col("far"), F.col("p.far")))
         absorb(met.select(F.col("p.doc").alias("a"), F.col("doc").alias("b")))
         used = stage(used.unionAll(chosen.select("key", "p.doc")), "op10-used")
@@ -189,9 +227,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     m = stage(placed(), "op10-placed")
     open_ = m.join(used, ["key", "doc"], "left_anti")
     home = m.where("doc = pivot").select("key", F.col("comp").alias("home"))
-    x = open_.join(home, "key").where("comp != home").select("key", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("far").alias("af"))
-    y = open_.select("key", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("far").alias("bf"))
-    absorb(x.join(y, "key").where((F.col("ac") != F.col("bc")) & alike(F.col("an"), F.col("bn")) & ~apart(F.col("af"), F.col("bf"))).select("a", "b"))
+    absorb(_by_deltas(open_.join(home, "key"), sets, percent))
     discard(sets, m, bucket, *done)
     out = members.join(comp.select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("doc", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
     ids = members.select(F.col("doc").alias("comp"), F.col("doc_id").alias("component_id"))
