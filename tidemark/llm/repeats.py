@@ -178,7 +178,7 @@ def _windows(batch: pa.RecordBatch, unit: Unit) -> tuple[np.ndarray, ...]:
     return doc[row], start.astype(np.int64)[row] + at, g.view(np.uint64)[row], c, cnt[row].astype(np.int64), old[row].astype(bool)
 
 
-def _within_triggers(unit: Unit, keep_first: bool, most: int = 1 << 22) -> Callable:
+def _within_triggers(unit: Unit, keep_first: bool, most: int = 1 << 22, step: int = 4096) -> Callable:
     """Over bodies sorted by trigger: the ranges of repeated windows. Whole triggers are taken together, up to `most` bytes or one trigger."""
 
     def ranges(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -196,6 +196,15 @@ def _within_triggers(unit: Unit, keep_first: bool, most: int = 1 << 22) -> Calla
         d, s, n = _merge(doc[found], at[found], np.ones(len(found), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "start", "n"])
 
+    def steps(held: pa.RecordBatch, g: np.ndarray, last: int) -> Iterator[pa.RecordBatch]:
+        """The rows before `last` in small steps, cut between triggers; each begins where the one before ended."""
+        i = 0
+        while i < last:
+            j = last if i + step >= last else int(np.searchsorted(g, g[i + step]))
+            j = j if j > i else int(np.searchsorted(g, g[i], "right"))
+            yield from ranges(held.slice(i, j - i))
+            i = j
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -205,20 +214,11 @@ def _within_triggers(unit: Unit, keep_first: bool, most: int = 1 << 22) -> Calla
                 continue
             g = held.column("g").to_numpy(zero_copy_only=False)
             last = int(np.searchsorted(g, g[-1]))  # the last trigger may go on in the next batch
-            for i in range(0, last, 4096):  # small steps, cut between triggers
-                i = i if i == 0 else int(np.searchsorted(g, g[i]))
-                j = last if i + 4096 >= last else int(np.searchsorted(g, g[i + 4096]))
-                if j > i:
-                    yield from ranges(held.slice(i, j - i))
+            yield from steps(held, g, last)
             held = held.slice(last)
         if held is not None:
             g = held.column("g").to_numpy(zero_copy_only=False)
-            i = 0
-            while i < len(g):
-                j = len(g) if i + 4096 >= len(g) else int(np.searchsorted(g, g[i + 4096]))
-                j = j if j > i else int(np.searchsorted(g, g[i], "right"))
-                yield from ranges(held.slice(i, j - i))
-                i = j
+            yield from steps(held, g, len(g))
 
     return run
 
