@@ -67,12 +67,12 @@ def signatures(h: np.ndarray, begin: np.ndarray, coordinates: int) -> np.ndarray
     return out.T
 
 
-def _sign(bands: int, rows: int):
+def _sign(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = texts(batch.column(2))
             for i, j in pieces(offsets, 1 << 19):
-                h, begin = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                h, begin = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 n = np.diff(begin)
                 total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[begin])
                 s1, s2 = total(mix(h + np.uint64(1))), total(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -88,12 +88,15 @@ def _sign(bands: int, rows: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = texts(batch.column(1))
-        for i, j in pieces(offsets):
-            h, begin = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc", "shingles"])
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = texts(batch.column(1))
+            for i, j in pieces(offsets):
+                h, begin = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc", "shingles"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,8 +156,8 @@ def _by_deltas(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, ["pivot", "s"]).where((F.col("ac") != F.col("bc")) & close & enough).select("a", "b")
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = 24, rows: int = 4, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each input row.
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = 24, rows: int = 4, star_rounds: int = 2, width: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each input row; shingles are of `width` words.
 
     Null text or a text without words has an empty set and is linked with nothing; its component is its own. Equal sets are
     linked. Rows that share an id are documents of their own for linking. Null ids come last, so such a row owns a
@@ -162,7 +165,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty result.
     """
     texts_of = identified(docs, id_col, text_col)
-    sig = stage(texts_of.mapInArrow(_sign(bands, rows), "doc long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "op10-signatures")
+    sig = stage(texts_of.mapInArrow(_sign(bands, rows, width), "doc long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "op10-signatures")
     same = ["n", "s1", "s2"]
     members = stage(sig.drop("bands").join(sig.where("n > 0").groupBy(same).agg(F.min("doc").alias("rep")), same, "left").select("doc", "doc_id", "n", F.coalesce("rep", "doc").alias("rep")), "op10-members")
     reps = sig.join(members.where("doc = rep and n > 0").select("doc"), "doc").select("doc", "n", F.explode("bands").alias("key"))
@@ -174,7 +177,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = lambda: F.max(F.struct("met", (-F.col("doc")).alias("early"))).alias("best")
     bucket = stage(weighed.join(weighed.groupBy("key").agg(best()), "key").select("key", "doc", "n", "met", (-F.col("best.early")).alias("pivot")), "op10-buckets")
     discard(shared, weighed)
-    sets = stage(texts_of.join(bucket.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(_sets, "doc long, shingles array<long>"), "op10-sets")
+    sets = stage(texts_of.join(bucket.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(_sets(width), "doc long, shingles array<long>"), "op10-sets")
     discard(sig)
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     comp, tested, done = None, None, []
