@@ -55,16 +55,17 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5, most: float = 2.0, shard_words: int = 1_000_000, max_shards: int = 8192, seed: int = 7,
+    share: float = 1.5, most: float = 2.0, shard_words: int = 1_000_000, max_shards: int = 8192, seed: int = 7, row_col: str | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken for each input row.
 
     Null text has size 0 and nothing is taken of it; a null source is a source of its own, the last. Rows that
     share an id are laid in one shard, side by side, and each is taken by the blocks it lies in. A null id is an
-    id. Other columns are ignored; an empty table gives an empty result.
+    id. Other columns are ignored; an empty table gives an empty result. With row_col, a column that tells rows
+    apart, the result has that column and nth too: how many rows of the same id lie before the row in its shard.
     """
-    spark = docs.sparkSession
-    sizes = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size")), "op8")
+    spark, row = docs.sparkSession, [] if row_col is None else [row_col]
+    sizes = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), *row), "op8")
     per = sorted(((r.source, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     total = sum(n for _, n in per)
     targets = water_fill([n for _, n in per], [weights[i % len(weights)] for i in range(len(per))], share * total, most)
@@ -76,7 +77,7 @@ def mix_sources(
     deal = lambda left, right, on: left.join(F.broadcast(right) if small else right, on)
     s, d = sizes.alias("s"), dealt.alias("d")
     placed = deal(s, d, F.col("s.source").eqNullSafe(F.col("d.source"))).select(
-        "doc_id", "s.source", "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards").cast("long")).cast("int").alias("shard")
+        "doc_id", "s.source", "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards").cast("long")).cast("int").alias("shard"), *row
     )
     each = {(r.source, r.shard): r.n for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()}
     by_source = {k: sainte_lague([t], round(t / block), [2 * -(-n // block)])[0] for (k, n), t in zip(per, targets)} if len(per) == 1 else {
@@ -92,7 +93,11 @@ def mix_sources(
                 step = next(a for a in range(int(0.618 * n) | 1, 2 * n + 3) if math.gcd(a, n) == 1)
                 quotas.append((source, shard, n, q, step, hash((seed, shard)) % n))
     table = spark.createDataFrame(quotas, "source string, shard int, blocks long, quota long, step long, shift long")
-    p, q = placed.withColumn("end", F.sum("size").over(Window.partitionBy("source", "shard").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))).alias("p"), table.alias("q")
+    order = Window.partitionBy("source", "shard").orderBy("doc_id", "size", *row)
+    laid = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if row:
+        laid = laid.withColumn("nth", F.row_number().over(order) - F.rank().over(Window.partitionBy("source", "shard").orderBy("doc_id")))
+    p, q = laid.alias("p"), table.alias("q")
     joined = p.join(F.broadcast(q) if small else q, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.shard") == F.col("q.shard")), "left")
     start, end = F.col("end") - F.col("size"), F.col("end")
 
@@ -104,19 +109,21 @@ def mix_sources(
         (F.col("size") > 0) & F.col("blocks").isNotNull(),
         F.aggregate(F.sequence(F.floor(start / block), F.floor((end - 1) / block)), F.lit(0).cast("long"), lambda acc, j: acc + of_block(j)),
     ).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *row, *(["nth"] if row else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as its taken words come to, rounded up or down by a seeded draw on its id.
 
-    It has the columns of docs. A document of no words stays once. Ids must be unique and not null.
+    It has the columns of docs. A document of no words stays once. Rows that share an id, null or not, are documents
+    of their own: each has its own plan and draw. A staged table numbers the rows, so that the plan meets its row again.
     """
     seed = options.get("seed", 7)
-    plan = mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), "size", "taken")
-    draw = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
-    times = plan.select("_id", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int").alias("_n")).where("_n > 0")
-    return docs.join(times, docs["doc_id"] == times["_id"]).withColumn("_k", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "op8-rows")
+    plan = mix_sources(rows, row_col="_row", **options)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1) + F.col("nth")), F.lit(1 << 20)) / float(1 << 20)
+    times = plan.select("_row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int").alias("_n")).where("_n > 0")
+    return rows.join(times, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
