@@ -5,7 +5,7 @@ scatter are estimated by concentration steps: from medians and absolute deviatio
 that lie nearest by Mahalanobis distance, estimate again from them, and repeat until the determinant stands
 still. Every step is two aggregations over all rows (a mergeable quantile and moments), so a hot language
 or source is summed by all tasks; the driver holds one mean and covariance for each group. A
-document is rejected if its squared distance passes the chi-square limit. Groups of under least_rows rows borrow
+document is rejected if its squared distance passes LIMIT, which is no chi-square quantile. Groups of under least_rows rows borrow
 the estimate of their language, or of all rows.
 """
 
