@@ -434,7 +434,7 @@ def internal_key_tag(log, spark, sf_dir):
 @query("SELECT seq, seq * seq AS v, CASE WHEN seq * seq < 128 THEN 1 WHEN seq * seq < 16384 THEN 2 WHEN seq * seq < 2097152 THEN 3 WHEN seq * seq < 268435456 THEN 4 ELSE 5 END AS varint_bytes FROM L WHERE seq <= 100000")
 def varint_length(log, spark, sf_dir):
     v = F.col("seq") * F.col("seq")
-    return log.where("seq <= 100000").select("seq", v.alias("v"), codec.varint_length(v).alias("varint_bytes"))
+    return log.select("seq", v.alias("v"), codec.varint_length(v).alias("varint_bytes"))
 
 
 @query("SELECT seq, printf('%02x%02x%02x%02x', seq % 256, (seq // 256) % 256, (seq // 65536) % 256, (seq // 16777216) % 256) AS fixed32, length(user_key) + 1 AS prefixed_bytes FROM L")
