@@ -63,10 +63,10 @@ def test_patricia_keeps_strings_apart():
     assert trie.insert(b"abc", None, 1) == [3, 3] and owner == [7, 2] and rnd
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_near(documents, corpus, rounds):
+@pytest.mark.parametrize("second", [0, 8])
+def test_near(documents, corpus, second):
     want = brute.near(dict(enumerate(corpus)))
-    got = {r.doc_id: r for r in minhash_dedup.minhash_dedup(documents, star_rounds=rounds).collect()}
+    got = {r.doc_id: r for r in minhash_dedup.minhash_dedup(documents, second_pivot=second).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 

@@ -6,7 +6,6 @@ bounded number of bytes, so that a Python worker's memory does not depend on the
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -30,9 +29,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local folder will do in local mode alone; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -59,10 +60,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the JVM collect garbage, so that Spark's cleaner deletes the shuffle files of finished steps now and not at its own time."""
-    gc.collect()
-    spark._jvm.System.gc()
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all staged tables under the shared folder, once every result that reads them has been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidemark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int | None = None) -> DataFrame:
+    """left joined with right (staged; one row for each key; `rows`: how many rows of left have it), no hot key in one task.
+
+    A key is hot if it has more than 1,000 rows and over a 10,000th of all. There are fewer than 10,000 such keys at any
+    size, so they are broadcast and the rows of left that have them stay where they are. The others meet by a shuffle.
+    """
+    total = (right.agg(F.sum(rows)).first()[0] or 0) if total is None else total
+    limit = max(1000, total // 10_000)
+    cold = left.join(right.where(F.col(rows) <= limit), on)
+    if total <= limit:
+        return cold
+    hot = F.broadcast(right.where(F.col(rows) > limit))
+    return cold.unionByName(left.join(hot, on).select(cold.columns))
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, discard, mix, pieces, release, stage, texts, word_spans
+from .common import Poly, arrow_batches, discard, mix, pieces, stage, texts, word_spans
 
 #: A trigger with more different phrases is not held in one task's memory (a phrase is under 600 bytes).
 MANY = 2000
@@ -257,7 +257,6 @@ def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool) ->
     spark, here = docs.sparkSession, rows.where("g is not null")
     shared = here.groupBy("g").agg(F.sum("cnt").alias("occ")).where("occ >= 2").select("g")
     near = stage(here.join(shared, "g"), "repeats-near")
-    release(spark)
     order = lambda *more: F.struct((~F.col("old")).alias("new"), "doc", "start", *more)
     classes = stage(near.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.min(order("n")).alias("first")), "repeats-classes")
     at_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
@@ -268,14 +267,12 @@ def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool) ->
 
     equal = stage(others(near, classes), "repeats-equal")
     discard(near)
-    release(spark)
     mixed = classes.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", (F.col("m") > MANY).alias("many"))
     times = F.lit(1) if keep_first else F.least("total", F.lit(2))
     asked = classes.join(mixed, "g").select("first.doc", F.struct("first.start", "first.n", "g", times.cast("int").alias("cnt"), "many").alias("one"))
     wanted = asked.groupBy("doc").agg(F.collect_list("one").alias("asked"))
     bodies = stage(docs.join(wanted, "doc").select("doc", "old", "text", "asked").mapInArrow(_bodies(unit), _BODY), "repeats-bodies")
     discard(classes)
-    release(spark)
     few = bodies.where("not many").repartition("g").sortWithinPartitions(F.col("g")).mapInArrow(_within_triggers(unit, keep_first), "doc long, start int, n int")
     windows = stage(bodies.where("many").mapInArrow(_one_by_one(unit), _ROW), "repeats-windows")
     single = windows.where("g is not null")
@@ -286,7 +283,6 @@ def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool) ->
         out = out.unionAll(p.select("doc", "start", "n"))
     out = stage(out, "repeats-ranges")
     discard(equal, bodies, windows)
-    release(spark)
     return out
 
 
