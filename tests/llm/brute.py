@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -98,3 +100,62 @@ def pii(text):
     for kind, pattern, good in rules:
         out += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text) if good(m.group())]
     return out
+
+
+def mcd(groups, share, steps, still, floor, prior, bins, quantiles):
+    """{(lang, source): rows x statistics} -> {(lang, source): (mean, scatter)} by concentration steps, one language and source at a time.
+
+    quantiles: {(lang, source): 3 x statistics}, the quartiles that a start uses.
+    """
+    from math import factorial
+
+    d = next(iter(groups.values())).shape[1]
+
+    def factor(q):
+        cdf = lambda x, k: 1 - np.exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))
+        low, high = 0.0, 200.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if cdf(mid, d) < q else (low, mid)
+        return q / cdf(low, d + 2)
+
+    best = {}
+    start = {}
+    for g, x in groups.items():
+        q1, med, q3 = quantiles[g]
+        mad = np.maximum((q3 - q1) / 1.349, floor)
+        t = np.tanh((x - med) / mad)
+        c = t.T @ t / len(x) + 1e-3 * np.eye(d)
+        corr = (t.T @ t / len(x)) / np.sqrt(np.outer(np.diag(c), np.diag(c)))
+        shape = 0.9 * corr * (1 - np.eye(d)) + np.eye(d)
+        start[g] = [(med, np.diag(mad**2)), (med, shape * np.outer(mad, mad))]
+    now, moved = start, np.inf
+    for _ in range(steps):
+        kept = {}
+        for g, x in groups.items():
+            for k in (0, 1):
+                mu, s = now[g][k]
+                d2 = np.einsum("ni,ij,nj->n", x - mu, np.linalg.inv(s), x - mu)
+                b = np.floor(bins * np.log2(d2 + 1e-6))
+                at = [(b < v).sum() < share * len(x) for v in b]
+                kept[g, k] = x[at]
+        new, moved = {}, 0.0
+        for g, x in groups.items():
+            new[g] = []
+            for k in (0, 1):
+                own = kept[g, k]
+                f = factor(min(len(own) / len(x), 1 - 1e-9))
+                mu, s = None, None
+                for part in (np.concatenate([kept[h, k] for h in groups]), np.concatenate([kept[h, k] for h in groups if h[0] == g[0]]), own):
+                    m, c = part.mean(0), f * np.cov(part.T, bias=True).reshape(d, d)
+                    w = len(part) / (len(part) + prior) if mu is not None else 1.0
+                    mu, s = (w * m + (1 - w) * mu, w * c + (1 - w) * s) if mu is not None else (m, c)
+                s = s + floor**2 * np.eye(d)
+                moved = max(moved, abs(np.linalg.slogdet(s)[1] - np.linalg.slogdet(now[g][k][1])[1]))
+                new[g].append((mu, s))
+        first, now = now is start, new
+        if not first and moved < still:
+            break
+    for g in groups:
+        best[g] = min(now[g], key=lambda e: np.linalg.slogdet(e[1])[1])
+    return best

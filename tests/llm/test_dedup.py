@@ -1,6 +1,9 @@
 """Substring, suffix-array, exact and near dedup against plain versions."""
 
+import random
+
 import brute
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import exact_dedup, minhash_dedup, repeats, substring_dedup, suffix_dedup
@@ -55,12 +58,42 @@ def test_exact(documents, corpus, doubled, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize(("memory", "many"), [(1, 0), (2000, 1000)])
+def test_exact_in_little_memory_and_salted(documents, memory, many):
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(exact_dedup.exact_dedup(documents, memory=memory, many=many)) == rows(exact_dedup.exact_dedup(documents))
+
+
 def test_patricia_keeps_strings_apart():
-    trie, rnd = exact_dedup.Patricia(), brute.re
-    keys = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"abcdef", b"abcxyz"] * 2
+    trie = exact_dedup.Patricia()
+    keys = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"abcxzz", b"abcxyz"] * 2
     for i, k in enumerate(keys):
         owner = trie.insert(k, i, 1)
-    assert trie.insert(b"abc", None, 1) == [3, 3] and owner == [7, 2] and rnd
+    assert (owner.least, owner.rows) == (7, 2) and trie.forks == 1
+    owner = trie.insert(b"abc", None, 1)
+    assert (owner.least, owner.rows) == (3, 3)
+    assert len(list(trie.owners())) == len(set(keys))
+
+
+@pytest.mark.parametrize("memory", [0, 3000, 1 << 30])
+def test_a_partition_shares_one_trie_and_spills_its_finished_subtrees(memory):
+    rnd, tries, init = random.Random(3), [], exact_dedup.Patricia.__init__
+
+    def watched(self):
+        init(self)
+        tries.append(self)
+
+    keys = sorted(b"common " * rnd.randint(0, 2) + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 9))) for _ in range(400))
+    table = pa.Table.from_pylist([{"place": 1, "sha": b"s", "n_bytes": len(k), "rep": i, "least": 400 - i, "rows": 2, "body": k} for i, k in enumerate(keys)])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(exact_dedup.Patricia, "__init__", watched)
+        got = [r for b in exact_dedup._owners(memory)(iter(table.to_batches(37))) for r in b.to_pylist()]
+    assert sorted(r["rep"] for r in got) == list(range(400))
+    for r in got:
+        same = [i for i, k in enumerate(keys) if k == keys[r["rep"]]]
+        assert (r["keep_id"], r["group_size"]) == (400 - same[-1], 2 * len(same))
+    used = [t for t in tries if t.forks]
+    assert len(used) == 1 and used[0].forks > 20 and (used[0].spills > 0) == (memory < 1 << 30)
 
 
 @pytest.mark.parametrize("second", [0, 8])

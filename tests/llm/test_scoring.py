@@ -97,6 +97,32 @@ def test_quality_counts_and_outliers(spark, documents, corpus, doubled, empty):
     assert quality_rules.quality_rules(doubled).count() == 7 and quality_rules.quality_rules(empty).count() == 0
 
 
+def test_mcd_equals_a_plain_version(spark):
+    rnd, names = np.random.default_rng(7), list(quality_rules.FEATURES)
+    shape = rnd.normal(size=(6, 6)) * 0.4
+    groups = {}
+    for g, n in {("en", "a"): 300, ("en", None): 7, ("de", "a"): 120, (None, "b"): 1}.items():
+        x = rnd.normal(size=(n, 6)) @ shape + (1.0 if g[0] == "de" else 0.0)
+        x[: n // 8] += 9
+        groups[g] = x
+    key = lambda v: "" if v is None else "=" + v
+    rows = spark.createDataFrame([(key(la), key(so), *map(float, r)) for (la, so), x in groups.items() for r in x], "lk string, sk string, " + ", ".join(f"{n} double" for n in names))
+    got = {(r.lk, r.sk): r for r in quality_rules.estimate(rows).collect()}
+    assert len(got) == 4
+    quartiles = {}
+    for g, x in groups.items():
+        o = np.sort(x, axis=0)
+        quartiles[g] = [o[max(0, int(np.ceil(p * len(x))) - 1)] for p in (0.25, 0.5, 0.75)]
+    want = brute.mcd(groups, 0.75, 10, 1e-3, quality_rules.FLOOR, quality_rules.PRIOR, quality_rules.BINS, quartiles)
+    for (la, so), (mu, s) in want.items():
+        r = got[key(la), key(so)]
+        assert r.n == len(groups[la, so]) and np.allclose(r.mu, mu, atol=1e-6)
+        assert np.allclose(np.linalg.inv(np.array(r.p).reshape(6, 6)), s, atol=1e-6)
+    clean = want["en", "a"]
+    assert np.abs(clean[0]).max() < 0.35  # the shifted eighth has no part in it
+    assert quality_rules.consistency(np.array([0.999999]))[0] == pytest.approx(1, abs=1e-3)
+
+
 def test_apportionment_is_by_highest_quotients():
     rnd = random.Random(6)
     for _ in range(50):
