@@ -5,11 +5,14 @@ A text is a sequence of symbols (words or bytes). A rolling hash runs over all k
 starts, and the symbols from the first start to the last end), so each window of a text lies in exactly one
 phrase, and equal windows have equal triggers at equal places: to find repeats only phrases with equal triggers
 need comparing. A phrase row is (g: hash of the trigger, c: independent hash of the phrase, document, start, n
-windows). Phrases that occur once, of triggers that occur once, have no repeated window; equal phrases
-(the same trigger and phrase) repeat all their windows; only for triggers with different phrases are
-windows told apart one by one, for one occurrence of each phrase: the phrases themselves are brought together by
-trigger and their windows compared in memory, or, for triggers with more than MANY phrases, by an aggregation
-over rows of windows. Rows are combined in each piece of input before any shuffle, and all joins are on hashes.
+windows); rows are combined in a task before any shuffle, so a phrase travels once for about 20 MB of text, however
+often it occurs.
+
+One exchange by trigger and one walk over its sorted rows (`_walk`) settles all phrases: one that is alone under its trigger
+has no repeated window; equal phrases repeat all their windows; where a trigger has different phrases, one
+occurrence of each is asked for, their symbols are brought together by trigger, and their windows put in suffix order (`window_ranks`):
+by their symbols, not by hash. A trigger with many rows is salted in the exchange; one with more than MANY different
+phrases has its windows told apart by an aggregation over rows instead of in one task's memory. The result is the same.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, discard, mix, pieces, stage, texts, word_spans
+from .common import Poly, arrow_batches, discard, mix, pieces, spread_join, stage, texts, word_spans
 
 #: A trigger with more different phrases is not held in one task's memory (a phrase is under 600 bytes).
 MANY = 2000
@@ -120,21 +123,97 @@ def _rows(doc, start, n, g, c, cnt, old=None) -> pa.RecordBatch:
 
 
 def _phrase_rows(unit: Unit) -> Callable:
-    """Of each piece: a row for each different phrase (cnt: 2 if it has more), and ranges (g null) of the other occurrences."""
+    """For each half million phrases or so of a task: a row for each different one (cnt: 2 if it has more), and ranges (g null) of the other occurrences."""
+
+    def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, start, n, g, c = (np.concatenate(x) for x in zip(*held))
+        first, count, rest = _combine((g, c), (doc, start))
+        yield _rows(doc[first], start[first], n[first], g[first], c[first], np.minimum(count, 2))
+        if len(rest):
+            doc, start, n = _merge(doc[rest], start[rest], n[rest])
+            yield _rows(doc, start, n, None, None, np.ones(len(doc)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, offsets = texts(batch.column(1))
             for i, j in pieces(offsets, unit.piece):
                 codes, bounds = unit.symbols(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 d, start, n, g, c = phrases(codes, bounds, unit)
-                doc = ids[i:j][d]
-                first, count, rest = _combine((g, c), (doc, start))
-                yield _rows(doc[first], start[first], n[first], g[first], c[first], np.minimum(count, 2))
-                if len(rest):
-                    doc, start, n = _merge(doc[rest], start[rest], n[rest])
-                    yield _rows(doc, start, n, None, None, np.ones(len(doc)))
+                held.append((ids[i:j][d], start, n, g, c))
+                size += len(d)
+                if size >= 1 << 19:
+                    yield from combined(held)
+                    held, size = [], 0
+        if size:
+            yield from combined(held)
+
+    return run
+
+
+_WALKED = "kind int, doc long, start int, n int, g long, c long, cnt int, old boolean"
+#: The rows of a walk: a range of repeats; a phrase whose windows must be compared; a phrase the index does not have.
+RANGE, ASK, FRESH = 0, 1, 2
+
+
+def _walk(keep_first: bool, fresh: bool, salted: bool = False, most: int = 1 << 20) -> Callable:
+    """Over phrase rows sorted by g, c, old first, document, start: what becomes of each.
+
+    Whole triggers are taken together. One with more than `most` rows is cut between its phrases and counts as having different ones,
+    as all do if other tasks may hold more of them (salted): that costs comparisons but changes no result.
+    """
+    names = ["doc", "start", "n", "g", "c", "cnt", "old"]
+
+    def settle(rows: list[np.ndarray], forced: int | None) -> Iterator[pa.RecordBatch]:
+        doc, start, n, g, c, cnt, old = rows
+        if not len(g):
+            return
+        newg = np.ones(len(g), bool)
+        newg[1:] = g[1:] != g[:-1]
+        newc = newg.copy()
+        newc[1:] |= c[1:] != c[:-1]
+        head = np.flatnonzero(newc)
+        cls, of_g = np.cumsum(newc) - 1, (np.cumsum(newg) - 1)[head]
+        total = np.add.reduceat(cnt.astype(np.int64), head)
+        mixed = (np.bincount(of_g) > 1)[of_g] | salted
+        if forced is not None:
+            mixed |= g[head] == forced
+        repeat = total[cls] >= 2
+        if keep_first:
+            repeat &= ~newc
+        repeat &= ~old
+        times = np.ones(len(head), np.int64) if keep_first else np.minimum(total, 2)
+        parts = [(RANGE, np.flatnonzero(repeat), None), (ASK, head[mixed], times[mixed])]
+        if fresh:
+            parts.append((FRESH, head[~old[head]], None))
+        at = np.concatenate([p for _, p, _ in parts])
+        kind = np.repeat([k for k, _, _ in parts], [len(p) for _, p, _ in parts]).astype(np.int32)
+        times = np.concatenate([np.ones(len(p), np.int64) if t is None else t for _, p, t in parts])
+        cols = [kind, doc[at], start[at], n[at], g[at], c[at], times.astype(np.int32), old[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[f.split()[0] for f in _WALKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size, forced = 0, None
+        for batch in batches:
+            held.append([batch.column(f).to_numpy(zero_copy_only=False) for f in names])
+            held[-1][6] = held[-1][6].astype(bool)
+            size += batch.num_rows
+            if size < most:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            g, c = rows[3], rows[4]
+            change = np.flatnonzero(g[1:] != g[:-1])
+            if len(change):
+                cut = int(change[-1]) + 1
+            else:
+                change = np.flatnonzero(c[1:] != c[:-1])
+                cut, forced = (int(change[-1]) + 1 if len(change) else 0), g[0]
+            yield from settle([x[:cut] for x in rows], forced)
+            held, size = [[x[cut:] for x in rows]], len(g) - cut
+        if size:
+            yield from settle([np.concatenate(x) for x in zip(*held)], forced)
 
     return run
 
@@ -165,16 +244,44 @@ def _bodies(unit: Unit) -> Callable:
     return run
 
 
-def _windows(batch: pa.RecordBatch, unit: Unit) -> tuple[np.ndarray, ...]:
-    """Document, place, trigger, hash, number of occurrences and age of each window of a batch of bodies."""
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks of rows of one or two keys, from 0; equal rows have equal ranks."""
+    out = np.unique(keys[0], return_inverse=True)[1]
+    for k in keys[1:]:
+        out = np.unique((out.astype(np.uint64) << np.uint64(32)) | np.unique(k, return_inverse=True)[1].astype(np.uint64), return_inverse=True)[1]
+    return out
+
+
+def window_ranks(codes: np.ndarray, win: int) -> np.ndarray:
+    """For each place of a sequence of symbols (bytes, or 64-bit codes of words), the rank of the win symbols from there on: a suffix array cut at win, by prefix doubling."""
+    n = len(codes)
+    if n < win:
+        return np.zeros(0, np.int64)
+    if codes.dtype == np.uint8:
+        k, rank = 8, np.zeros(n - 7, np.uint64)
+        for i in range(8):
+            rank = (rank << np.uint64(8)) | codes[i : n - 7 + i]
+    else:
+        k, rank = 1, codes
+    while 2 * k <= win:
+        rank = _dense(rank[:-k], rank[k:])
+        k *= 2
+    return _dense(rank) if k == win else _dense(rank[: n - win + 1], rank[win - k : n - k + 1])
+
+
+def _windows(batch: pa.RecordBatch, unit: Unit, ranks: bool) -> tuple[np.ndarray, ...]:
+    """Document, place, trigger, rank among the batch's windows (or hash), number of occurrences and age of each window of a batch of bodies."""
     buf, offsets = texts(batch.column("body"))
-    codes, bounds = (buf.view(np.uint64), offsets // 8) if unit.words else (_LETTERS.codes[buf], offsets)
+    codes, bounds = (buf.view(np.uint64), offsets // 8) if unit.words else (buf, offsets)
     doc, start, n, g, cnt, old = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "start", "n", "g", "cnt", "old"))
     size = n.astype(np.int64)
     row = np.repeat(np.arange(len(n)), size)
     at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     p = bounds[:-1][row] + at
-    c = _PHRASE.spans(_PHRASE.prefix(codes), p, p + unit.win)
+    if ranks:
+        c = window_ranks(codes, unit.win)[p] if len(p) else p
+    else:
+        c = _PHRASE.spans(_PHRASE.prefix(codes if unit.words else _LETTERS.codes[codes]), p, p + unit.win)
     return doc[row], start.astype(np.int64)[row] + at, g.view(np.uint64)[row], c, cnt[row].astype(np.int64), old[row].astype(bool)
 
 
@@ -182,7 +289,7 @@ def _within_triggers(unit: Unit, keep_first: bool, most: int = 1 << 22, step: in
     """Over bodies sorted by trigger: the ranges of repeated windows. Whole triggers are taken together, up to `most` bytes or one trigger."""
 
     def ranges(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc, at, g, c, cnt, old = _windows(batch, unit)
+        doc, at, g, c, cnt, old = _windows(batch, unit, True)
         if not len(doc):
             return
         order = np.lexsort((at, doc, old == 0, c, g))
@@ -229,7 +336,7 @@ def _one_by_one(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
-                doc, at, g, c, cnt, old = _windows(whole.slice(i, 1024), unit)
+                doc, at, g, c, cnt, old = _windows(whole.slice(i, 1024), unit, False)
                 first, count, rest = _combine((g, c), (~old, doc, at))
                 if not len(first):
                     continue
@@ -248,42 +355,46 @@ def phrase_table(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(_phrase_rows(unit), _ROW)
 
 
-def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
+def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool, fresh: bool = False, many: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranges (doc, start, n) of the starts of repeated windows; with keep_first, a window's first occurrence is not one.
 
     rows is a staged phrase_table, with phrases of earlier documents marked old; docs has the texts (doc, old, text) of
-    all documents that rows mention. The result is a staged table; rows is no longer needed.
+    all documents that rows mention. Both results are staged tables; the second has the phrases that no old row has, if fresh.
     """
-    spark, here = docs.sparkSession, rows.where("g is not null")
-    shared = here.groupBy("g").agg(F.sum("cnt").alias("occ")).where("occ >= 2").select("g")
-    near = stage(here.join(shared, "g"), "repeats-near")
-    order = lambda *more: F.struct((~F.col("old")).alias("new"), "doc", "start", *more)
-    classes = stage(near.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.min(order("n")).alias("first")), "repeats-classes")
-    at_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-
-    def others(part: DataFrame, whole: DataFrame) -> DataFrame:
-        met = part.where("not old").join(whole.where("total >= 2").select("g", "c", "first"), ["g", "c"])
-        return (met.where(~at_first) if keep_first else met).select("doc", "start", "n")
-
-    equal = stage(others(near, classes), "repeats-equal")
-    discard(near)
-    mixed = classes.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", (F.col("m") > MANY).alias("many"))
-    times = F.lit(1) if keep_first else F.least("total", F.lit(2))
-    asked = classes.join(mixed, "g").select("first.doc", F.struct("first.start", "first.n", "g", times.cast("int").alias("cnt"), "many").alias("one"))
-    wanted = asked.groupBy("doc").agg(F.collect_list("one").alias("asked"))
+    many = MANY if many is None else many
+    here = rows.where("g is not null")
+    columns = ["doc", "start", "n", "g", "c", "cnt", "old"]
+    settled = lambda part, salt: part.repartition("g", *salt).sortWithinPartitions("g", "c", F.desc("old"), "doc", "start").select(columns).mapInArrow(_walk(keep_first, fresh, bool(salt)), _WALKED)
+    # a trigger with very many rows is dealt out by phrase too; a 64th of all phrases tells which they are, as that decides nothing else
+    total = here.count()
+    hot = stage(here.where("pmod(c, 64) = 0").groupBy("g").count().where(F.col("count") >= max(64, total // 640_000)).select("g"), "repeats-hot")
+    if hot.limit(1).count():
+        salt = F.pmod(F.shiftright("c", 7), F.lit(64)).alias("salt")
+        parts = settled(here.join(F.broadcast(hot), "g", "left_anti"), []).unionAll(settled(here.join(F.broadcast(hot), "g", "left_semi").select(*columns, salt), ["salt"]))
+    else:
+        parts = settled(here, [])
+    walked = stage(parts, "repeats-walked")
+    asks = walked.where(F.col("kind") == ASK).select("doc", "start", "n", "g", "cnt")
+    per = stage(asks.groupBy("g").agg(F.count("*").alias("m")), "repeats-triggers")
+    flagged = spread_join(asks, per, ["g"], "m").select("doc", F.struct("start", "n", "g", "cnt", (F.col("m") > many).alias("many")).alias("one"))
+    wanted = flagged.groupBy("doc").agg(F.collect_list("one").alias("asked"))
     bodies = stage(docs.join(wanted, "doc").select("doc", "old", "text", "asked").mapInArrow(_bodies(unit), _BODY), "repeats-bodies")
-    discard(classes)
     few = bodies.where("not many").repartition("g").sortWithinPartitions(F.col("g")).mapInArrow(_within_triggers(unit, keep_first), "doc long, start int, n int")
-    windows = stage(bodies.where("many").mapInArrow(_one_by_one(unit), _ROW), "repeats-windows")
-    single = windows.where("g is not null")
-    same = single.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.min(order()).alias("first")).where("total >= 2")
-    parts = [rows.where("g is null"), equal, few, windows.where("g is null"), others(single, same)]
-    out = parts[0].select("doc", "start", "n")
-    for p in parts[1:]:
-        out = out.unionAll(p.select("doc", "start", "n"))
+    out = rows.where("g is null").select("doc", "start", "n").unionAll(walked.where(F.col("kind") == RANGE).select("doc", "start", "n")).unionAll(few)
+    windows = None
+    if per.where(F.col("m") > many).limit(1).count():
+        windows = stage(bodies.where("many").mapInArrow(_one_by_one(unit), _ROW), "repeats-windows")
+        single = windows.where("g is not null")
+        first = F.struct((~F.col("old")).alias("new"), "doc", "start")
+        same = stage(single.groupBy("g", "c").agg(F.sum("cnt").alias("total"), F.count("*").alias("rows"), F.min(first).alias("first")).where("total >= 2"), "repeats-same")
+        met = spread_join(single.where("not old"), same, ["g", "c"], "rows")
+        at_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
+        out = out.unionAll(windows.where("g is null").select("doc", "start", "n")).unionAll((met.where(~at_first) if keep_first else met).select("doc", "start", "n"))
     out = stage(out, "repeats-ranges")
-    discard(equal, bodies, windows)
-    return out
+    discard(hot, per, bodies, *([windows] if windows is not None else []))
+    new = walked.where(F.col("kind") == FRESH).select("doc", "start", "n", "g", "c")
+    new.scratch_path = walked.scratch_path
+    return out, new
 
 
 def finish(docs: DataFrame, ranges: DataFrame, unit: Unit, kernel: Callable, schema: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 The parse cuts every text at rolling-hash triggers into overlapping phrases (see repeats.py): the triggers are the
 smallest hashes of their neighbourhood rather than a residue class, so no phrase exceeds 337 starts and every
-200-byte string lies in exactly one phrase. The dictionary is the set of different phrases with their
-numbers of occurrences; the parse is the list of (document, start, phrase). In corpus order, two suffixes that agree on
-200 bytes are suffixes of dictionary phrases at the same place from an equal trigger. So the sorted suffixes of
-the dictionary fall apart by trigger, and neighbours with a common prefix of 200 bytes are found within a trigger:
-equal phrases by their count in the parse, different phrases of one trigger by grouping their suffixes' 200-byte
-prefixes (hash order stands for byte order: only equality counts). Mapped through the parse, that gives
-every repeated position of the corpus. No suffix of a phrase that is alone under its trigger is ever formed.
+200-byte string lies in exactly one phrase. The dictionary is the set of different phrases; the parse is the
+table of (document, start, phrase), laid in the order of phrases, so the parse lists each phrase's places in the corpus. In
+corpus order, two suffixes that agree on 200 bytes are suffixes of dictionary phrases at the same place from an equal trigger. So the
+sorted suffixes of the dictionary fall apart by trigger: the different phrases of one trigger are a part of the dictionary, its suffix
+array (`window_ranks`, prefix doubling over the bytes) gives the neighbours that share 200 bytes, and the parse
+carries them to all places of the corpus. No suffix of a phrase that is alone under its trigger is ever formed.
+
+Suffixes are ordered by their first 200 bytes. What follows lies in the next phrases of the parse; it would order suffixes
+that agree on 200 bytes, which are repeats in any order, so no suffix array of the parse itself is made.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = identified(docs, id_col, text_col)
     parse = stage(phrase_table(rows, BYTES), "op4-parse")
-    ranges = repeated(parse, rows.withColumn("old", F.lit(False)), BYTES, keep_first=False)
-    discard(parse)
+    ranges, walked = repeated(parse, rows.withColumn("old", F.lit(False)), BYTES, keep_first=False)
+    discard(parse, walked)
     return finish(rows, ranges, BYTES, _kernel(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
