@@ -1,43 +1,52 @@
 """PII (op5): candidate gradient boosting, in DataFrame functions only.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers; their spans always stay. High-recall generators
-propose further, overlapping spans (obfuscated addresses, numbers with other separators or without a prefix). Every candidate
-gets small integer features of its format and context. The candidates of the whole corpus are summed by feature vector
-(a bounded table), those that are base spans count as positive, and boosted trees of depth two are fitted on
-that table on the driver. For each kind, the lowest score of at least least_score at which precision on the table is least_precision is the threshold.
-The trees become one SQL expression; candidates that pass and touch no base span are added.
+propose further, overlapping spans (obfuscated addresses, numbers with other separators, lengths or without a prefix). Every candidate
+gets small integer features of its format and context. Boosted trees of depth two tell whether it is personal data.
+
+The trees learn from items that are planted in snippets of the corpus (`planted`): personal data in plain and obfuscated
+formats, and hard negatives that look alike (versions, dates, times, order numbers, ranges, prices, ISBNs); base rules have no part in
+the labels. The snippets are of at most max_contexts documents, chosen by a hash; half of the planted texts fit the trees, a
+quarter calibrates: a logistic curve for each kind, and the lowest calibrated probability at which precision is least_precision;
+the last quarter is only measured (`Model.held_out`). The model is one SQL expression; of the candidates that pass and touch no base span,
+overlapping ones give way to the earliest and longest, and the rest are added.
 
 Positions: a regular expression's matches and the pieces between them are taken by the same matcher, and the running
-sum of their lengths in code points gives starts and ends. Patterns are possessive where that
-changes no match, so long texts neither backtrack much nor recurse.
+sum of their lengths in code points gives starts and ends. Patterns begin only where a run of their characters begins (or where the
+last match ended) and are possessive, where that changes no match, so the time on a text is linear but for the number of its matches.
 """
 
 from __future__ import annotations
 
+import math
+import random
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import read_table
 
 KINDS = ["email", "ip", "card", "phone"]
+_LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email": r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]{1,3}+(?:[.,:_][0-9]{1,3}+){3}",
+    "email": _LOCAL + r" ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?:\.| \. | ?\[dot\] ?| ?\(dot\) ?)[A-Za-z0-9-]++)++",
+    "ip": r"[0-9]{1,3}+(?:(?:\[\.\]|[.,:_])[0-9]{1,3}+){3}",
     "card": r"[0-9](?:[ ./_-]?[0-9]){12,18}",
     "phone": r"[+(]?[0-9](?:[ ()./-]{0,2}[0-9]){7,14}",
 }
 #: Cheap tests that a text must pass before the patterns of a kind run on it.
-GUARD = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9][.,:_][0-9]", "card": r"[0-9](?:[ ./_-]?[0-9]){12}", "phone": r"[0-9](?:[ ()./-]{0,2}[0-9]){6}|\+[0-9]"}
-FEATURES = ["kind", "digits", "marks", "plus", "bracket", "before", "after", "word", "at", "dots"]
+GUARD = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9](?:\[\.\]|[.,:_])[0-9]", "card": r"[0-9](?:[ ./_-]?[0-9]){12}", "phone": r"[0-9](?:[ ()./-]{0,2}[0-9]){6}|\+[0-9]"}
+FEATURES = ["kind", "digits", "marks", "plus", "bracket", "before", "after", "word", "valid", "dots", "first", "last", "spaces", "groups"]
 _SPAN = "array<struct<s:int,e:int,m:string>>"
-_WORDS = [r"tel|phone|call|fax|mobil", r"card|visa|pay|credit", r"mail|contact", r"\bip\b|host|server|addr"]
+_WORDS = [r"tel|phone|call|fax|mobil", r"card|visa|pay|credit", r"mail|contact", r"\bip\b|host|server|addr", r"order|ref|invoice|version|isbn|date|total|\bno\b"]
 
 
 def find(text: Column, pattern: str) -> Column:
@@ -81,6 +90,18 @@ def _class(c: Column) -> Column:
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0).when(c.rlike(r"^\s$"), 0).when(c.rlike("^[A-Za-z0-9]$"), 1).when(c.rlike(r"^[.,;:!?)]$"), 2).otherwise(3)
 
 
+def _sound(k: int, m: Column, digits: Column) -> Column:
+    """Whether the normalised form of a candidate is one: a known kind of top-level domain, octets, the card checksum, few enough digits."""
+    if KINDS[k] == "email":
+        return F.regexp_extract(m, "([A-Za-z0-9-]+)$", 1).rlike("^(?:com|org|net|edu|gov|info|biz|io|[a-z]{2})$")
+    if KINDS[k] == "ip":
+        parts = F.transform(F.split(m, "[^0-9]+"), lambda p: F.regexp_replace(p, "^0+", ""))
+        return F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
+    if KINDS[k] == "card":
+        return luhn(digits)
+    return F.length(digits).between(8, 15)
+
+
 def _vector(kind: int, text: Column, x: Column) -> Column:
     m = x["m"]
     near = F.lower(F.substring(text, F.greatest(x["s"] - 15, F.lit(1)), F.least(x["s"], F.lit(16))))
@@ -88,15 +109,17 @@ def _vector(kind: int, text: Column, x: Column) -> Column:
     for i, pattern in reversed(list(enumerate(_WORDS))):
         word = F.when(near.rlike(pattern), i + 1).otherwise(word)
     count = lambda chars: F.length(_only(m, f"[^{chars}]"))
+    group = lambda pattern: F.least(F.length(F.regexp_extract(m, pattern, 1)), F.lit(8))
     before = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit(""))
     return F.array(
         F.lit(kind), F.least(count("0-9"), F.lit(20)), F.least(count(r" ()./,:_-"), F.lit(8)), m.startswith("+").cast("int"), m.rlike(r"[(\[]").cast("int"),
-        _class(before), _class(F.substring(text, x["e"] + 1, F.lit(1))), word, F.contains(m, F.lit("@")).cast("int"), F.least(count("."), F.lit(4)),
+        _class(before), _class(F.substring(text, x["e"] + 1, F.lit(1))), word, _sound(kind, m, _only(m, "[^0-9]")).cast("int"), F.least(count("."), F.lit(4)),
+        group("^[^0-9]*([0-9]*)"), group("([0-9]*)[^0-9]*$"), F.least(count(" "), F.lit(4)), F.least(F.regexp_count(m, F.lit("[0-9]+")), F.lit(8)),
     )
 
 
-def _extract(docs: DataFrame) -> DataFrame:
-    """doc_id, base (k, s, e) and candidates (k, s, e, f, y) of each row of (doc_id, text)."""
+def _extract(docs: DataFrame, *also) -> DataFrame:
+    """doc_id, base (k, s, e), candidates (k, s, e, f) of each row of (doc_id, text), and the columns also."""
     text = F.col("text")
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
     base, cand = [], []
@@ -110,7 +133,75 @@ def _extract(docs: DataFrame) -> DataFrame:
 
     for k, kind in enumerate(KINDS):
         of_kind(k, kind)
-    return docs.select("doc_id", F.concat(*base).alias("base"), F.concat(*cand).alias("cand"))
+    return docs.select("doc_id", *also, F.concat(*base).alias("base"), F.concat(*cand).alias("cand"))
+
+
+# training ---------------------------------------------------------------------------------------------------------------
+
+
+def _checked(digits: str, good: bool, rnd: random.Random) -> str:
+    """The digits and a last one that does, or does not, meet the card checksum."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 - i % 2)
+        total += d - 9 if d > 9 else d
+    last = -total % 10
+    return digits + str(last if good else (last + rnd.randint(1, 9)) % 10)
+
+
+def _item(kind: str, good: bool, rnd: random.Random) -> str:
+    """An invented item of personal data in one of its formats, or something that looks like one."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(3, 9)))
+    num = lambda n: str(rnd.randint(1, 9)) + "".join(rnd.choice("0123456789") for _ in range(n - 1))
+    cut = lambda s, sizes, sep: sep.join(s[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+    if kind == "email":
+        at, dot = rnd.choice([("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", "."), ("[at]", "[dot]"), (" @ ", ".")])
+        if good:
+            name = rnd.choice([word(), f"{word()}.{word()}", f"{word()}{num(2)}"])
+            return name + at + word() + rnd.choice(["", dot + word()]) + dot + rnd.choice(["com", "org", "net", "de", "fr", "es", "io", "info"])
+        return rnd.choice([f"{num(1)} @ {num(2)}.{num(2)}", f"{word()} (at) {num(2)}.{num(2)}", f"{word()} (at) {word()}. {word().title()}", f"{word()} [at] {word()}. {word().title()}", f"{num(3)} @ {num(1)}.{num(3)}"])
+    if kind == "ip":
+        octets = [str(rnd.randint(0, 255)) for _ in range(4)]
+        if good:
+            return rnd.choice([".", "[.]", "[.]", "_", ":"]).join(octets)
+        times = f"{rnd.randint(10, 23)}:{num(2)}:{num(2)}:{num(2)}"
+        return rnd.choice([times, f"{num(1)},{num(3)},{num(3)},{num(3)}", ",".join(num(1) for _ in range(4)), ":".join(num(1) for _ in range(4)), f"{num(1)}.{num(1)}_{num(2)}.{num(3)}"])
+    if kind == "card":
+        n = rnd.choice([13, 15, 15, 16, 16, 16, 19]) if good else rnd.choice([13, 14, 15, 16, 16])
+        digits = _checked(num(n - 1), good, rnd)
+        sizes = {13: [4, 3, 3, 3], 14: [4, 6, 4], 15: [4, 6, 5], 16: [4, 4, 4, 4], 19: [4, 4, 4, 4, 3]}[n]
+        if good:
+            return cut(digits, sizes, rnd.choice([" ", "-", ".", "/", "_", ""]))
+        stamp = f"20{num(2)}{rnd.choice(['/', '-', '.', ''])}0{num(1)}{rnd.choice(['/', '-', '.', ''])}1{rnd.randint(0, 9)} {rnd.randint(10, 23)}{num(4)}"
+        return rnd.choice([cut(digits, sizes, rnd.choice([" ", "-", ".", "/", ""])), cut(digits, sizes, ""), stamp, f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}"])
+    if good:
+        a, b, c = num(3), num(3), num(4)
+        return rnd.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1 {a} {b} {c}", f"0{num(2)} {num(4)} {num(4)}", f"+{num(2)} {a} {b} {c}", f"+1 ({a}) {b}-{c}"])
+    date = f"20{num(2)}-0{num(1)}-1{rnd.randint(0, 9)}"
+    return rnd.choice([f"{date} {rnd.randint(10, 23)}", f"{num(4)}-{num(4)}", f"{num(1)} {num(3)} {num(3)} {num(3)}", num(rnd.randint(8, 14)), f"1{rnd.randint(0, 9)}/0{num(1)}/20{num(2)} {rnd.randint(10, 23)}", f"{num(3)}.{num(6)}", f"{num(5)}/{num(4)}"])
+
+
+#: What stands before an item: its own words, or those of other numbers.
+_LEADS = {"email": ["e-mail", "contact", "mail to"], "ip": ["ip", "host", "server at", "address"], "card": ["card", "visa", "paid with", "credit card"], "phone": ["tel", "phone", "call", "fax", "mobile"]}
+_OTHER = ["order", "ref", "invoice", "version", "isbn", "date", "at", "no.", "total"]
+
+
+def planted(contexts: list[str], copies: int = 4, seed: int = 5) -> list[tuple]:
+    """(doc_id, part, text, k, s, e, good): items in the middle of snippets; s and e in code points; part 0, 1 fit, 2 calibrates, 3 is held out."""
+    rnd, out = random.Random(seed), []
+    for context in contexts or [""]:
+        for _ in range(copies):
+            k, good = rnd.randrange(len(KINDS)), rnd.random() < 0.5
+            item = _item(KINDS[k], good, rnd)
+            own, drawn = rnd.choice(_LEADS[KINDS[k]]), rnd.random()
+            lead = own if drawn < (0.6 if good else 0.1) else "" if drawn < 0.8 else rnd.choice(_OTHER if not good else ["", "and", "or"])
+            middle = rnd.randint(0, len(context))
+            while 0 < middle < len(context) and not context[middle].isspace():
+                middle += 1
+            left = context[:middle] + " " + lead + rnd.choice([" ", ": ", " "])
+            text = left + item + rnd.choice([" ", ". ", ", ", "\n"]) + context[middle:].lstrip()
+            out.append((len(out), len(out) % 4, text, k, len(left), len(left) + len(item), good))
+    return out
 
 
 def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int = 30, rate: float = 0.3, ridge: float = 1.0) -> tuple[list[tuple], np.ndarray]:
@@ -143,47 +234,92 @@ def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int = 30, rat
     return trees, 1 / (1 + np.exp(-score))
 
 
-def thresholds(x: np.ndarray, p: np.ndarray, pos: np.ndarray, neg: np.ndarray, least_precision: float) -> list[float]:
-    """For each kind the lowest probability at which precision is enough; over 1 if there is none."""
-    out = []
-    for k in range(len(KINDS)):
-        limit = 1.1
-        own = x[:, 0] == k
-        for t in sorted(set(p[own].tolist())):
+@dataclass(frozen=True)
+class Model:
+    """Trees over FEATURES; for each kind a calibration (slope, bias) of their sum, and the least calibrated probability."""
+
+    trees: list[tuple]
+    curves: list[tuple[float, float]]
+    limits: list[float]
+    held_out: dict[str, tuple[float, float, int]]  # recall, precision and good items by kind
+
+    def sql(self) -> str:
+        """Whether the candidate c passes."""
+        side = lambda t: f"IF(c.f[{t[0]}] <= {t[1]}, {float(t[2])!r}D, {float(t[3])!r}D)"
+        total = " + ".join(["0D", *(f"IF(c.f[{f}] <= {cut}, {side(a)}, {side(b)})" for f, cut, a, b in self.trees)])
+        least = [(math.log(t / (1 - t)) - bias) / slope if 0 < t < 1 else 1e300 for (slope, bias), t in zip(self.curves, self.limits)]
+        return f"({total}) >= array({', '.join(f'{x!r}D' for x in least)})[c.k]"
+
+
+def _scores(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    score = np.zeros(len(x))
+    for f, cut, *sides in trees:
+        low, high = (np.where(x[:, f2] <= c2, a, b) for f2, c2, a, b in sides)
+        score += np.where(x[:, f] <= cut, low, high)
+    return score
+
+
+def calibrate(score: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and bias of a logistic curve through scores; the slope is positive."""
+    w, design = np.array([1.0, 0.0]), np.stack([score, np.ones_like(score)], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), design.T @ (p - y) + ridge * (w - [1.0, 0.0]))
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(w[0]), 1e-3), float(w[1])
+
+
+def train(docs: DataFrame, text_col: str = "text", least_precision: float = 0.97, least_score: float = 0.5, max_contexts: int = 1500) -> Model:
+    """Fit, calibrate and measure on planted texts; snippets are the first 240 code points of at most max_contexts texts."""
+    spark = docs.sparkSession
+    snippet = docs.select(F.substring(F.col(text_col).cast("string"), 1, 240).alias("t")).where("t is not null")
+    contexts = [r.t for r in snippet.orderBy(F.xxhash64("t"), "t").limit(max_contexts).collect()]
+    rows = spark.createDataFrame(planted(contexts), "doc_id long, part int, text string, k int, s int, e int, good boolean")
+    found = _extract(rows, "part", F.struct("k", "s", "e", "good").alias("item")).selectExpr("part", "item", "explode(cand) AS c").where("c.s < item.e and item.s < c.e")
+    # a candidate is right if it is the planted item but for a tenth; one of another kind is wrong
+    right = F.expr("item.good and c.k = item.k and 10 * (least(c.e, item.e) - greatest(c.s, item.s)) >= 9 * (greatest(c.e, item.e) - least(c.s, item.s))")
+    table = found.select(F.col("c.f").alias("f"), "part", right.alias("y")).groupBy("f", "part").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg")).collect()
+    items = {(r.part, r.k): r.n for r in rows.where("good").groupBy("part", "k").agg(F.count("*").alias("n")).collect()}
+    table.sort(key=lambda r: (r.f, r.part))
+    x, part = np.array([r.f for r in table]).reshape(-1, len(FEATURES)), np.array([r.part for r in table])
+    pos, neg = np.array([r.pos for r in table], float), np.array([r.neg for r in table], float)
+    fit = part < 2
+    trees, _ = boost(x[fit], pos[fit], neg[fit])
+    score = _scores(trees, x)
+    curves, limits, held = [], [], {}
+    for k, kind in enumerate(KINDS):
+        own = (part == 2) & (x[:, 0] == k)
+        many = np.concatenate([pos[own], neg[own]]).astype(int)
+        curve = calibrate(np.repeat(np.tile(score[own], 2), many), np.repeat(np.repeat([1.0, 0.0], own.sum()), many))
+        p = 1 / (1 + np.exp(-np.clip(curve[0] * score + curve[1], -30, 30)))
+        limit = 1.0
+        for t in sorted(set(p[own][p[own] >= least_score].tolist())):
             at = own & (p >= t)
-            if pos[at].sum() >= least_precision * (pos[at].sum() + neg[at].sum()) and pos[at].sum() > 0:
-                limit = t
+            if pos[at].sum() >= least_precision * (pos[at].sum() + neg[at].sum()):
+                limit = t - 1e-9
                 break
-        out.append(limit)
-    return out
-
-
-def _sql(trees: list[tuple]) -> str:
-    side = lambda t: f"IF(c.f[{t[0]}] <= {t[1]}, {float(t[2])!r}D, {float(t[3])!r}D)"
-    return " + ".join(["0D", *(f"IF(c.f[{f}] <= {cut}, {side(a)}, {side(b)})" for f, cut, a, b in trees)])
+        at = (part == 3) & (x[:, 0] == k) & (p >= limit)
+        held[kind] = float(pos[at].sum() / max(items.get((3, k), 0), 1)), float(pos[at].sum() / max((pos[at] + neg[at]).sum(), 1)), items.get((3, k), 0)
+        curves.append(curve)
+        limits.append(limit)
+    return Model(trees, curves, limits, held)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_precision: float = 0.95, least_score: float = 0.8, max_vectors: int = 100_000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, base and extra (arrays of k, s, e: kind, start, end in code points, end exclusive) of each input row.
 
-    Null text is empty and has no spans. Repeated rows get equal base spans and equal extras. Whole texts are searched. Other columns
-    are ignored; an empty table, or one without candidates, gives no extras.
+    Null text is empty and has no spans. Repeated rows get equal base spans and equal extras. Whole texts are searched, in one pass without a
+    shuffle. Without a model one is trained on snippets of these texts; an empty table trains on bare items. Other columns are ignored.
     """
+    model = model or train(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = stage(_extract(rows), "op5-spans")
-    counted = found.where("size(cand) > 0").selectExpr("base", "explode(cand) AS c").selectExpr("c.f AS f", "exists(base, b -> b.k = c.k AND b.s = c.s AND b.e = c.e) AS y")
-    table = counted.groupBy("f").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg")).limit(max_vectors + 1).collect()
-    if len(table) > max_vectors:
-        raise ValueError("more feature vectors than max_vectors; raise it")
-    if not table:
-        return found.select("doc_id", "base", F.array().cast("array<struct<k:int,s:int,e:int>>").alias("extra"))
-    table.sort(key=lambda r: r.f)
-    x, pos, neg = np.array([r.f for r in table]), np.array([r.pos for r in table], float), np.array([r.neg for r in table], float)
-    trees, p = boost(x, pos, neg)
-    limits = [min(max(t, least_score), 1 - 1e-9) if t <= 1 else None for t in thresholds(x, p, pos, neg, least_precision)]
-    logits = ", ".join("1e300D" if t is None else f"{float(np.log(t / (1 - t)) - 1e-9)!r}D" for t in limits)
-    chosen = f"filter(cand, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e) AND {_sql(trees)} >= array({logits})[c.k])"
-    return found.selectExpr("doc_id", "base", f"transform({chosen}, c -> named_struct('k', c.k, 's', c.s, 'e', c.e)) AS extra")
+    chosen = f"filter(cand, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e) AND {model.sql()})"
+    found = _extract(rows).selectExpr("doc_id", "base", f"array_sort(transform({chosen}, c -> named_struct('s', c.s, 'l', c.s - c.e, 'k', c.k, 'e', c.e))) AS c")
+    # in order of start, longest first, what overlaps none before it
+    apart = "aggregate(c, named_struct('at', 0, 'out', cast(array() AS array<struct<k:int,s:int,e:int>>)), (a, x) -> IF(x.s >= a.at, named_struct('at', x.e, 'out', concat(a.out, array(named_struct('k', x.k, 's', x.s, 'e', x.e)))), a), a -> a.out)"
+    return found.selectExpr("doc_id", "base", f"{apart} AS extra")
 
 
 def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
