@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding (op6): streaming Viterbi over a piece model.
 
-The best segmentation maximises the sum of the model's piece scores; characters without a piece become byte pieces.
-A Viterbi pass needs only the scores of the last max_piece bytes, and where all surviving backpointer paths go through
+The lattice of a text has a node for each way a piece can end at a boundary between characters; characters without a piece become byte
+pieces. In a unigram model a path's score is the sum of its pieces' scores. In a BPE model (the default) pieces have no weights of their own:
+a transition between two neighbouring pieces scores 0 if merging the two pieces' text, best score first, gives just these two pieces,
+and minus infinity if not. A path without forbidden transitions is the model's own encoding, and each boundary has at most one
+live path to it, so the ids are those of BPE merging (`sentencepiece` gives the same).
+
+A pass needs only the nodes of the last max_piece bytes, and where all surviving backpointer paths go through
 one boundary, everything before it is final: its ids are committed and the window starts anew (`StreamingViterbi`).
-Bytes that no longer piece contains, and a space after something else if spaces only ever begin pieces, are such boundaries
-for any text, so a text falls into segments whose ids do not depend on each other. Each different segment of a batch is
-encoded once, segments of equal length side by side; segments over `SIDE` bytes go through the streaming pass.
+A space after something else, if spaces only ever begin pieces, is such a boundary for any text, so a text falls into segments
+whose ids do not depend on each other. Every segment goes through the same streaming pass; a worker keeps the ids of
+up to CACHE short segments, so a word is encoded once for very many occurrences.
 
 A space stands for the model's space mark; a literal mark in a text has no piece and is kept as bytes, so decoding gives
 back every text exactly. As in the model's own encoder, one space goes before a text that is not empty.
@@ -14,17 +19,18 @@ back every text exactly. As in the model's own encoder, one space goes before a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, mix, pieces, read_table, texts
+from .common import Poly, arrow_batches, pieces, read_table, texts
 
 MARK = "▁"
-SIDE = 48
+#: Segments, and pairs of pieces, whose outcome a worker remembers; at the bound it forgets all. Only segments of up to 64 bytes are kept.
+CACHE = 1 << 18
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _POLY, _KEYS = Poly(51), Poly(52)
 
@@ -38,11 +44,12 @@ class Pieces:
     by_id: list[bytes]
     unknown: float
     longest: int
-    hard: np.ndarray
     spaces_lead: bool
+    bpe: bool = False
+    apart: dict = field(default_factory=dict, compare=False)
 
     @staticmethod
-    def read(path: str) -> Pieces:
+    def read(path: str, bpe: bool = True) -> Pieces:
         """Read on the driver; the vocabulary itself is sent to the executors."""
         import sentencepiece
 
@@ -61,62 +68,98 @@ class Pieces:
                 by_id.append(text)
         if (byte_ids < 0).any():
             raise ValueError("the model has no byte fallback")
-        return Pieces.of(table, byte_ids, by_id)
+        return Pieces.of(table, byte_ids, by_id, bpe)
 
     @staticmethod
-    def of(table: dict[bytes, tuple[int, float]], byte_ids: np.ndarray, by_id: list[bytes]) -> Pieces:
-        hard = np.ones(256, bool)
-        for t in table:
-            if len(t.decode()) > 1:
-                hard[list(set(t))] = False
-        hard[0x80:] = False  # a cut inside a character is none
-        hard[32] = False
+    def of(table: dict[bytes, tuple[int, float]], byte_ids: np.ndarray, by_id: list[bytes], bpe: bool = False) -> Pieces:
         lead = all(b" " not in t.lstrip(b" ") for t in table)
-        return Pieces(table, byte_ids, by_id, min((s for _, s in table.values()), default=0.0) - 10, max(map(len, table), default=1), hard, lead)
+        return Pieces(table, byte_ids, by_id, min((s for _, s in table.values()), default=0.0) - 10, max(map(len, table), default=1), lead, bpe)
+
+    def merged(self, text: bytes) -> list[bytes]:
+        """The pieces that merging leaves of a short text: the neighbours with the best score first, the left ones of equals."""
+        parts = [c.encode() for c in text.decode()]
+        while True:
+            best, at = -np.inf, -1
+            for i in range(len(parts) - 1):
+                got = self.table.get(parts[i] + parts[i + 1])
+                if got is not None and got[1] > best:
+                    best, at = got[1], i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def stay_apart(self, left: bytes, right: bytes) -> bool:
+        """Whether merging leaves two neighbours as they are; an empty left one is the start."""
+        out = self.apart.get((left, right))
+        if out is None:
+            if len(self.apart) >= CACHE:
+                self.apart.clear()
+            out = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return out
 
 
 class StreamingViterbi:
     """Feed bytes in any portions; ids come out as soon as they are certain. Holds at most the bytes since the last certain boundary.
 
-    The scores kept are those of the last `longest` bytes. A path can be alive only if it ends there; once the
+    The nodes kept are those of the last `longest` bytes. A path can be alive only if it ends there; once the
     backpointers of all of them meet in one boundary, what lies before it is committed.
     """
 
     def __init__(self, model: Pieces):
         self.model = model
-        self.text, self.best, self.back = bytearray(), [0.0], [(0, -1)]  # from the last certain boundary on
+        self._begin(b"")
+
+    def _begin(self, before: bytes) -> None:
+        """before: the piece that ends where the held text begins."""
+        self.text, self.best, self.back, self.ends = bytearray(), [0.0], [(0, -1)], [before]
 
     def feed(self, portion: bytes, last: bool = True) -> list[int]:
         m, out = self.model, []
         self.text += portion
+        text, table, bpe, apart, known = self.text, self.model.table, self.model.bpe, self.model.stay_apart, self.model.apart
         while True:
             e = len(self.best)
-            if e > len(self.text):
+            if e > len(text):
                 break
             # a boundary lies before the first byte of a character; the next byte may still be missing
-            if e == len(self.text) and not last or e < len(self.text) and self.text[e] & 0xC0 == 0x80:
-                if e == len(self.text):
+            if e == len(text) and not last or e < len(text) and text[e] & 0xC0 == 0x80:
+                if e == len(text):
                     break
                 self.best.append(-np.inf)
                 self.back.append((e, -1))
+                self.ends.append(b"")
                 continue
-            top, how, seen = -np.inf, (0, -1), False
-            for s in range(e - 1, max(0, e - m.longest) - 1, -1):
+            top, how, piece, char = -np.inf, (0, -1), b"", e - 1
+            while text[char] & 0xC0 == 0x80:
+                char -= 1
+            for s in range(max(0, e - m.longest), e):
                 if self.best[s] == -np.inf:
                     continue
-                got = m.table.get(bytes(self.text[s:e]))
-                if got is None and not seen:
-                    got = (-1, m.unknown)
-                seen = True  # the nearest boundary is this character's start
-                if got is not None and self.best[s] + got[1] > top:
-                    top, how = self.best[s] + got[1], (s, got[0])
+                part = bytes(text[s:e])
+                got = table.get(part)
+                if got is None:
+                    if s != char:
+                        continue
+                    if self.best[s] + m.unknown > top:
+                        top, how, piece = self.best[s] + m.unknown, (s, -1), b""
+                elif bpe:
+                    # one path at most is alive here: the first that is allowed; after bytes nothing merges
+                    pair = (self.ends[s], part)
+                    ok = known.get(pair)
+                    if ok or ok is None and apart(*pair):
+                        top, how, piece = 0.0, (s, got[0]), part
+                        break
+                elif self.best[s] + got[1] > top:
+                    top, how, piece = self.best[s] + got[1], (s, got[0]), part
             self.best.append(top)
             self.back.append(how)
+            self.ends.append(piece)
             if e % (4 * m.longest) == 0:
                 out += self._commit()
+                text = self.text
         if last:
             out += self._path(len(self.text))
-            self.text, self.best, self.back = bytearray(), [0.0], [(0, -1)]
+            self._begin(b"")
         return out
 
     def _path(self, e: int) -> list[int]:
@@ -141,81 +184,25 @@ class StreamingViterbi:
         base = self.best[at]
         self.best = [0.0] + [b - base for b in self.best[at + 1 :]]
         self.back = [(0, -1)] + [(s - at, i) for s, i in self.back[at + 1 :]]
+        self.ends = self.ends[at:]
         return ids
 
 
 class Encoder:
-    """Vectorised encoding of batches of texts with one model."""
+    """Encoding of batches of texts with one model; remembers short segments."""
 
     def __init__(self, model: Pieces):
-        self.model = model
-        names = list(model.table)
-        self.keys = np.array([self._hash(t) for t in names], np.uint64)
-        order = np.argsort(self.keys)
-        self.keys = self.keys[order]
-        self.ids = np.array([model.table[t][0] for t in names], np.int32)[order]
-        self.scores = np.array([model.table[t][1] for t in names])[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.keys >> np.uint64(44)] = True
-        self.lengths = sorted({len(t) for t in names})
-
-    @staticmethod
-    def _hash(t: bytes) -> int:
-        b = np.frombuffer(t, np.uint8)
-        return int(_POLY.spans(_POLY.of_bytes(b), np.array([0]), np.array([len(b)]))[0])
-
-    def _side_by_side(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments of one length (a row of bytes each), end to end, and how many each has."""
-        m, (count, n) = self.model, rows.shape
-        prefix = np.zeros((count, n + 1), np.uint64)
-        np.cumsum(_POLY.codes[rows] * _POLY.pow[:n], axis=1, out=prefix[:, 1:])
-        inner = (rows & 0xC0) == 0x80
-        best = np.full((n + 1, count), -np.inf)
-        best[0] = 0
-        back, piece = np.zeros((n + 1, count), np.int16), np.full((n + 1, count), -1, np.int32)
-        for e in range(1, n + 1):
-            at_end = np.ones(count, bool) if e == n else ~inner[:, e]
-            for size in self.lengths:
-                if size > e:
-                    break
-                h = (prefix[:, e] - prefix[:, e - size]) * _POLY.ipow[e - size]
-                h = mix(h)
-                hit = np.flatnonzero(self.maybe[h >> np.uint64(44)] & at_end)
-                if not len(hit):
-                    continue
-                i = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
-                ok = self.keys[i] == h[hit]
-                hit, i = hit[ok], i[ok]
-                total = best[e - size, hit] + self.scores[i]
-                better = total > best[e, hit]
-                hit, i = hit[better], i[better]
-                best[e, hit], back[e, hit], piece[e, hit] = total[better], size, self.ids[i]
-            # the fallback: the character that ends here, as bytes
-            for size in range(1, min(4, e) + 1):
-                one = at_end & ~inner[:, e - size] & (inner[:, e - size + 1 : e].all(axis=1) if size > 1 else True)
-                hit = np.flatnonzero(one)
-                total = best[e - size, hit] + m.unknown
-                better = total > best[e, hit]
-                best[e, hit[better]], back[e, hit[better]], piece[e, hit[better]] = total[better], size, -1
-        ids, sizes = np.full((count, n), -1, np.int32), np.zeros(count, np.int64)
-        place, cur = np.full(count, n), np.full(count, n)
-        live = np.arange(count)
-        while len(live):
-            e = cur[live]
-            size, p = back[e, live].astype(np.int64), piece[e, live]
-            known = p >= 0
-            k = live[known]
-            place[k] -= 1
-            ids[k, place[k]] = p[known]
-            k, s, end = live[~known], size[~known], e[~known]
-            for back_by in range(1, 5):
-                more = s >= back_by
-                place[k[more]] -= 1
-                ids[k[more], place[k[more]]] = m.byte_ids[rows[k[more], end[more] - back_by]]
-            cur[live] = e - size
-            live = live[cur[live] > 0]
-        sizes = n - place
-        return ids[np.arange(n)[None, :] >= place[:, None]], sizes
+        self.model, self.cache = model, {}
+
+    def segment(self, text: bytes) -> list[int]:
+        ids = self.cache.get(text)
+        if ids is None:
+            ids = StreamingViterbi(self.model).feed(text)
+            if len(text) <= 64:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[text] = ids
+        return ids
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a piece, end to end, and where each text's begin."""
@@ -228,34 +215,16 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(docs + 1, np.int64)
         cut = np.zeros(n, bool)
         cut[offsets[:-1][filled]] = True
-        hard = m.hard[buf]
-        cut |= hard
-        cut[1:] |= hard[:-1]
         if m.spaces_lead:
             cut[1:] |= (buf[1:] == 32) & (buf[:-1] != 32)
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        prefix = _POLY.of_bytes(buf)
         other = _KEYS.spans(_KEYS.of_bytes(buf), starts, ends)
-        _, index, inverse = np.unique(_POLY.spans(prefix, starts, ends) ^ (other << np.uint64(1)), return_index=True, return_inverse=True)
-        length = (ends - starts)[index]
-        counts, where, flat, base = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64), [], 0
-        by_length = np.argsort(length, kind="stable")
-        cuts = np.flatnonzero(np.diff(length[by_length])) + 1
-        for group in np.split(by_length, cuts):
-            size = int(length[group[0]])
-            for i in range(0, len(group), 8192):
-                part = group[i : i + 8192]
-                s = starts[index[part]]
-                if size <= SIDE:
-                    ids, sizes = self._side_by_side(buf[s[:, None] + np.arange(size)])
-                else:
-                    lists = [StreamingViterbi(m).feed(buf[a : a + size].tobytes()) for a in s]
-                    ids, sizes = np.array([x for y in lists for x in y], np.int32), np.array([len(y) for y in lists])
-                counts[part], where[part] = sizes, base + np.cumsum(sizes) - sizes
-                flat.append(ids)
-                base += len(ids)
-        pool, each = np.concatenate(flat), counts[inverse]
+        _, index, inverse = np.unique(_POLY.spans(_POLY.of_bytes(buf), starts, ends) ^ (other << np.uint64(1)), return_index=True, return_inverse=True)
+        text = buf.tobytes()
+        lists = [self.segment(text[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist())]
+        counts = np.array([len(x) for x in lists], np.int64)
+        pool, where, each = np.array([i for x in lists for i in x], np.int32), np.cumsum(counts) - counts, counts[inverse]
         at = np.concatenate([[0], np.cumsum(each)])
         out = pool[np.repeat(where[inverse] - at[:-1], each) + np.arange(at[-1])]
         return out, at[np.searchsorted(starts, offsets)]
