@@ -1,11 +1,13 @@
 """Quality classifier (op3): importance resampling.
 
 Two generative models of hashed n-grams, one of target text (documents labelled as good) and one of the raw corpus, give
-every document a log importance weight, the sum of log p_target - log p_raw over its n-grams. Adding a Gumbel
-variate to each and taking the k largest samples k documents without replacement by weight.
+every document a log importance weight: `strength` times the mean of log p_target - log p_raw over its n-grams, where PRIOR
+n-grams of ratio 1 are mixed in, so that a short text weighs little. The sum over a long text would be thousands,
+beside which a Gumbel variate is nothing and top-k would sample nothing; the strength is the number of n-grams that a document counts
+for. Adding a Gumbel variate to each log weight and taking the k largest samples k documents without replacement by weight.
 
 The raw model counts every document. The target model is fitted on at most max_docs labelled documents, chosen by a hash.
-N-grams run over tokens: runs of letters or digits (long ones stand for their shape: case, length, last bytes), runs of
+N-grams are single tokens and pairs: runs of letters or digits, runs of
 punctuation, line breaks; a token that repeats the last or the one before is marked, so loops are n-grams of their own.
 """
 
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import Poly, arrow_batches, discard, mix, pieces, read_table, stage, texts
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+#: n-grams of equal probability in both models that every text has besides its own
+PRIOR = 20
 _POLY = Poly(61)
 # classes of bytes: 0 blank, 1 word, 2 punctuation, 3 line break
 _KIND = np.array([3 if b == 10 else 0 if b <= 32 else 1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
-_CAPITAL = np.array([65 <= b <= 90 for b in range(256)]).astype(np.int64)
-_SHORT = 4
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,15 +43,10 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = np.append(starts[1:], n)
     real = kind[starts] != 0
     starts, ends = starts[real], ends[real]
-    k, size = kind[starts].astype(np.uint64), ends - starts
+    k = kind[starts].astype(np.uint64)
     prefix = _POLY.of_bytes(buf)
     whole = _POLY.spans(prefix, starts, ends)
-    tail = _POLY.spans(prefix, np.maximum(starts, ends - 2), ends)
-    caps = np.concatenate([[0], np.cumsum(_CAPITAL[buf])])
-    upper = caps[ends] - caps[starts]
-    case = np.where(upper == 0, 0, np.where(upper == 1, 1, 2))
-    shape = mix(tail + (case * 64 + np.minimum(size, 20)).astype(np.uint64))
-    code = np.where((k == 1) & (size > _SHORT), shape, whole + k)
+    code = whole + k
     d = np.searchsorted(offsets, starts, "right") - 1
     again = np.zeros(len(code), np.uint64)
     for back in (1, 2):
@@ -106,7 +103,7 @@ def threshold(keys: DataFrame, k: int, few: int = 10_000) -> float:
             return found[k - 1]
 
 
-def importance_sample(docs: DataFrame, good: DataFrame, keep: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 3, smoothing: float = 1.0) -> DataFrame:
+def importance_sample(docs: DataFrame, good: DataFrame, keep: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 3, smoothing: float = 1.0, strength: float = 30.0) -> DataFrame:
     """doc_id, log_weight, kept of each input row; kept marks the Gumbel top-k, k = keep times the rows, rounded.
 
     good holds texts of the target (column text). Null or empty text has no n-grams and log weight 0. The Gumbel variate hangs
@@ -123,7 +120,7 @@ def importance_sample(docs: DataFrame, good: DataFrame, keep: float, id_col: str
             out = []
             for i, j in pieces(offsets):
                 bucket, d = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out.append(np.bincount(d, odds[bucket], j - i).astype(np.float64))
+                out.append(strength * np.bincount(d, odds[bucket], j - i).astype(np.float64) / (np.bincount(d, minlength=j - i) + PRIOR))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "log_weight"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
