@@ -33,18 +33,35 @@ def test_shared_ids_are_documents_in_order_of_text(doubled, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-def test_incremental_batches_see_history(spark, documents, corpus):
-    index = substring_dedup.FingerprintIndex(max_runs=2)
+def test_incremental_batches_see_history(spark, documents, corpus, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    index = substring_dedup.FingerprintIndex(spark, folder, max_runs=2, buckets=3)
     rows = repeats.identified(documents, "doc_id", "text")
-    got = {}
-    for k in range(4):
-        part = index.add(rows.where(f"doc % 4 = {k}")).collect()
+    got, fewest = {}, 9
+    for k in range(5):
+        if k == 2:  # another process goes on with it
+            index = substring_dedup.FingerprintIndex(spark, folder, rows.where("doc % 5 < 2").select("doc", "text"), max_runs=2)
+            assert index.buckets == 3 and len(index.runs) == 2
+        part = index.add(rows.where(f"doc % 5 = {k}")).collect()
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in part}
-        assert len(index.runs) <= 2
-    order = sorted(range(len(corpus)), key=lambda i: (i % 4, i))
+        fewest = min(fewest, len(index.runs)) if k > 2 else fewest
+        assert len(index.runs) <= 3
+    assert fewest == 2  # the runs were merged
+    order = sorted(range(len(corpus)), key=lambda i: (i % 5, i))
     assert [got[i] for i in order] == brute.substring([corpus[i] for i in order])
 
 
+def test_runs_stay_where_they_are(spark, documents):
+    index = substring_dedup.FingerprintIndex(spark, buckets=3)
+    rows = repeats.identified(documents, "doc_id", "text")
+    index.add(rows.where("doc < 20"))
+    plan = index.known(repeats.phrase_table(rows.where("doc >= 20"), repeats.WORDS).where("g is not null"))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "tidemark_run" in line)
+    assert "SortMergeJoin" in plan and "Bucketed: true" in lines[scan]
+    assert not any("Exchange" in line for line in lines[:scan]) and plan.count("Exchange") == 1  # the batch alone is shuffled
+
+
 def test_exact(documents, corpus, doubled, empty):
     normal = [brute.re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in corpus]
     got = exact_dedup.exact_dedup(documents).orderBy("doc_id").collect()

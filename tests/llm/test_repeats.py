@@ -31,3 +31,38 @@ def test_no_trigger_is_skipped(most, step, batch, keep_first):
     table = pa.Table.from_pylist(rows, pa.schema(types.items()))
     got = [r for b in repeats._within_triggers(unit, keep_first, most, step)(iter(table.to_batches(batch))) for r in b.to_pylist()]
     assert sorted((r["doc"], r["start"] + k) for r in got for k in range(r["n"])) == sorted(want)
+
+
+@pytest.mark.parametrize("dtype", [np.uint8, np.uint64])
+@pytest.mark.parametrize("win", [20, 200])
+def test_window_ranks_are_a_plain_suffix_order(dtype, win):
+    rnd = np.random.default_rng(win)
+    codes = np.concatenate([rnd.integers(0, 2, 300), np.zeros(450), rnd.integers(0, 200, 40), np.zeros(450), rnd.integers(0, 2, 300), np.ones(5)]).astype(dtype)
+    places = range(len(codes) - win + 1)
+    got = repeats.window_ranks(codes, win)
+    want = {w: i for i, w in enumerate(sorted({tuple(codes[p : p + win]) for p in places}))}
+    assert got.tolist() == [want[tuple(codes[p : p + win])] for p in places]
+    assert len(repeats.window_ranks(codes[: win - 1], win)) == 0
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 20])
+@pytest.mark.parametrize(("keep_first", "salted"), [(True, False), (False, False), (True, True)])
+def test_the_walk_settles_every_phrase(most, keep_first, salted):
+    rnd = np.random.default_rng(2)
+    rows = [{"doc": int(d), "start": 0, "n": 3, "g": int(rnd.integers(0, 25)), "c": int(rnd.integers(0, 3)), "cnt": int(rnd.integers(1, 3)), "old": bool(keep_first and d < 20)} for d in range(120)]
+    rows.sort(key=lambda r: (r["g"], r["c"], not r["old"], r["doc"]))
+    types = {"doc": pa.int64(), "start": pa.int32(), "n": pa.int32(), "g": pa.int64(), "c": pa.int64(), "cnt": pa.int32(), "old": pa.bool_()}
+    table = pa.Table.from_pylist(rows, pa.schema(types.items()))
+    got = [r for b in repeats._walk(keep_first, True, salted, most)(iter(table.to_batches(7))) for r in b.to_pylist()]
+    heads, classes, total = {}, Counter(), Counter()
+    for r in rows:
+        heads.setdefault((r["g"], r["c"]), r)
+        total[r["g"], r["c"]] += r["cnt"]
+    for g, _ in heads:
+        classes[g] += 1
+    ranges = {r["doc"] for r in rows if not r["old"] and total[r["g"], r["c"]] > 1 and not (keep_first and heads[r["g"], r["c"]] is r)}
+    assert sorted(r["doc"] for r in got if r["kind"] == repeats.RANGE) == sorted(ranges)
+    asks = {(r["g"], r["c"]) for r in got if r["kind"] == repeats.ASK}
+    must = {k for k in heads if classes[k[0]] > 1 or salted}
+    assert must <= asks <= set(heads) and (most < 1 << 20 or asks == must)
+    assert {(r["g"], r["c"]) for r in got if r["kind"] == repeats.FRESH} == {k for k, h in heads.items() if not h["old"]}

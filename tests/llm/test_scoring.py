@@ -1,5 +1,6 @@
 """Toxicity, importance resampling, quality rules, mixing, PII and pieces."""
 
+import os
 import random
 
 import brute
@@ -223,6 +224,40 @@ def test_streaming_commits_early(toy):
     assert most < 100
 
 
+needs_model = pytest.mark.skipif(not os.path.exists(pieces.DEFAULT_MODEL), reason="needs the vocabulary file")
+
+
+@needs_model
+def test_ids_are_those_of_the_library():
+    import sentencepiece
+
+    sp, encoder = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), pieces.Encoder(pieces.Pieces.read(pieces.DEFAULT_MODEL))
+    rnd = random.Random(3)
+    lines = ["", " ", "  two  spaces   ", "tabs\tand\nlines\n\n", "größer naïve façade", "日本語のテキスト", "emoji 😀😀 end", "aaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 3000, "(" * 50 + ")" * 31, "0123456789" * 30, "https://a.example.com/x?y=1&z=2"]
+    lines += ["".join(rnd.choice("etaoinshrdlu  ,.éü\n0") for _ in range(rnd.randint(1, 200))) for _ in range(300)]
+    for line in lines:
+        raw = np.frombuffer(line.encode(), np.uint8)
+        ids, _ = encoder.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == sp.encode(line), line
+
+
+@needs_model
+def test_a_text_of_megabytes_keeps_a_small_window():
+    model, rnd, most, out = pieces.Pieces.read(pieces.DEFAULT_MODEL), random.Random(4), 0, []
+    part = "".join(rnd.choice("etaoinshrdlu") for _ in range(5000)).encode()
+    stream = pieces.StreamingViterbi(model)
+    for i in range(0, 300_000, 1000):
+        out += stream.feed(part[i % 5000 : i % 5000 + 1000], last=False)
+        most = max(most, len(stream.text))
+    out += stream.feed(b"")
+    assert most < 2000 and b"".join(model.by_id[i] for i in out) == part * 60
+    encoder = pieces.Encoder(model)
+    text = np.frombuffer(((" " + part.decode()[:40]) * 125_000).encode(), np.uint8)
+    ids, bounds = encoder.encode(text, np.array([0, len(text)]))
+    back, _ = encoder.decode(ids, bounds)
+    assert len(text) > 5_000_000 and back.tobytes() == text.tobytes()
+
+
 def test_round_trip(spark, toy, documents, corpus, empty):
     got = pieces.encode(documents, toy)
     assert got.where("not round_trip").count() == 0 and got.count() == len(corpus)
