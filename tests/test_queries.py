@@ -6,8 +6,8 @@ import duckdb
 import pytest
 
 from tidemark.functions import codec
-from tidemark.functions.prefix import running
-from tidemark.operators import commands, compaction, files, visibility
+from tidemark.functions.prefix import numbered, running
+from tidemark.operators import cache, commands, compaction, files, filters, visibility
 from tidemark.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,153 @@ def test_codecs(spark):
     assert one.m == (((0xCBF43926 >> 15) | (0xCBF43926 << 17)) + codec.CRC_MASK_DELTA) % 2**32
 
 
+def test_reading_what_was_encoded(spark):
+    from pyspark.sql import functions as F
+
+    values = [0, 1, 127, 128, 300, 16383, 16384, 2**32 - 1, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.concat(F.lit("ff"), codec.varint_hex(F.col("v")), F.lit("aa")).alias("h"), codec.fixed_hex(F.col("v"), 8).alias("f"))
+    for r in df.select("v", codec.read_varint(F.col("h"), 1).alias("x"), codec.read_fixed(F.col("f"), 0, 8).alias("y"), F.length("h").alias("n")).collect():
+        assert r.x.value == r.v == r.y and 2 * r.x.next + 2 == r.n
+    cut = spark.range(1).select(codec.read_varint(F.lit("80"), 0).alias("a"), codec.read_prefixed(F.lit("0261"), 0).alias("b"), codec.read_prefixed(F.lit("026162ff"), 0).alias("c"), codec.read_prefixed(F.lit("00"), 0).alias("d")).first()
+    assert cut.a is None and cut.b is None and (cut.c.value, cut.c.next) == ("6162", 3) and (cut.d.value, cut.d.next) == ("", 1)
+
+
+def test_a_batch_is_decoded_whole_or_not_at_all(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    entries = [(0, 0, b"key", b"value"), (7, 1, b"", None), (1, 0, b"k", b""), (0, 0, b"\xff\x00", bytes(range(256)))]
+    data = struct.pack("<BQI", 1, 1 << 40, len(entries))
+    for cf, op, key, value in entries:
+        data += struct.pack("<BII", 1 + op, cf, len(key)) + key + (struct.pack("<I", len(value)) + value if op == 0 else b"")
+    rows = [(0, data), (1, struct.pack("<BQI", 1, 5, 0)), (2, b"\x02" + data[1:]), (3, data + b"x"), (4, data[:13] + b"\x09" + data[14:]), (5, b""), (6, struct.pack("<BQI", 1, 5, 2**31))] + [(100 + i, data[:i]) for i in range(1, len(data), 7)] + [(9, None)]
+    df = spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, d in rows], "i int, d binary")
+    got = {r.i: r.b for r in df.select("i", codec.decode_batch(F.col("d")).alias("b")).collect()}
+    assert got[0].base == 1 << 40 and [(e.cf, e.op, bytes(e.user_key), None if e.value is None else bytes(e.value)) for e in got[0].entries] == entries
+    assert got[1].base == 5 and got[1].entries == []
+    assert all(b is None for i, b in got.items() if i > 1)
+    built = spark.createDataFrame([(cf, op, bytearray(k), None if v is None else bytearray(v), i) for i, (cf, op, k, v) in enumerate(entries)], "cf int, op int, k binary, v binary, i int")
+    one = built.orderBy("i").select(codec.encode_entry(F.col("cf"), F.col("op"), F.col("k"), F.col("v")).alias("e")).collect()
+    record = spark.createDataFrame([([r.e for r in one],)], "e array<string>").select(codec.encode_batch(F.lit(1 << 40), F.col("e")).alias("r")).first().r
+    assert bytes(record) == data
+
+
+def test_log_files_lose_only_what_is_damaged(spark, tmp_path):
+    from tidemark.schema import Corruption
+    from tidemark.sources import wal
+
+    rnd = __import__("random").Random(1)
+    records = [rnd.randbytes(n) for n in (0, 1, 100, 32_754, 32_761, 7, 40_000, 100_000, 3)] + [rnd.randbytes(rnd.randint(0, 9000)) for _ in range(60)]
+    data = b"".join(wal.frame(records))
+    assert list(wal.unframe(data, strict=True)) == records
+    again = data + b"".join(wal.frame([b"more"], at=len(data)))
+    assert list(wal.unframe(again)) == [*records, b"more"]
+    for cut in range(0, len(data), 9973):
+        part = list(wal.unframe(data[:cut]))
+        assert part == records[: len(part)]
+    with pytest.raises(Corruption):
+        list(wal.unframe(data[: 32_768 * 3 + 50], strict=True))
+    for place in (3, 40_000, 150_000):
+        bad = bytearray(data)
+        bad[place] ^= 1
+        got = list(wal.unframe(bytes(bad)))
+        assert all(r in records for r in got) and len(records) - 40 < len(got) < len(records) and got[-1] == records[-1]
+    (tmp_path / "000007.log").write_bytes(data)
+    (tmp_path / "000008.log").write_bytes(b"")
+    read = wal.read_logs(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [bytes(r.record) for r in read] == records and {r.log for r in read} == {7}
+
+
+def test_prefixes_of_long_keys(spark):
+    keys = ["a" * 20 + "x", "a" * 20 + "y", "a" * 20 + "yé", "a" * 20 + "yè", "", "a", "b" * 300, "b" * 300 + "c"]
+    df = spark.createDataFrame([(0, k) for k in keys], "cf int, user_key string")
+    for ranges in (1, 3, 128):
+        got = {r.user_key: (r.entry, r.shared, r.non_shared) for r in files.shared_prefixes(df, ranges=ranges).collect()}
+        order = sorted(keys, key=str.encode)
+        for i, k in enumerate(order):
+            a, b = k.encode(), order[i - 1].encode()
+            n = 0 if i == 0 else next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+            assert got[k] == (i, n, len(a) - n)
+    assert got["a" * 20 + "y"][1] == 20 and got["a" * 20 + "yé"][1] == 22
+
+
+def test_candidates_by_broadcast_and_by_ranges(spark):
+    files_ = spark.createDataFrame([(i % 2, i, f"{i * 3:04d}", f"{i * 3 + 10:04d}") for i in range(60)] + [(0, 99, "0000", "9999")], "cf int, file_no long, smallest_key string, largest_key string")
+    probes = spark.createDataFrame([(i % 3, f"{i:04d}") for i in range(0, 250)], "cf int, user_key string")
+    rows = lambda df: sorted(map(tuple, df.select("cf", "user_key", "file_no").collect()))
+    want = sorted((p.cf, p.user_key, f.file_no) for p in probes.collect() for f in files_.collect() if p.cf == f.cf and f.smallest_key <= p.user_key <= f.largest_key)
+    assert rows(files.candidates(probes, files_)) == rows(files.candidates(probes, files_, most=5, ranges=9)) == want
+
+
+def test_numbered_over_ranges(spark):
+    rows = [(i % 2, f"k{i * 37 % 101:03d}") for i in range(101)]
+    for ranges in (1, 6):
+        got = {(r.g, r.k): (r.n, r.b) for r in numbered(spark.createDataFrame(rows, "g int, k string"), ["g"], "k", "n", "b", ranges).collect()}
+        for g in (0, 1):
+            own = sorted(k for h, k in rows if h == g)
+            assert all(got[g, k] == (i, own[i - 1] if i else None) for i, k in enumerate(own))
+
+
+def test_a_file_with_falling_keys_is_refused(spark):
+    from tidemark.schema import InvalidKeyOrder
+
+    log = spark.createDataFrame([(0, 1, "a", 1), (0, 1, "b", 2), (0, 2, "a", 3)], "cf int, file_no long, user_key string, seq long")
+    assert files.check_sorted(log).count() == 3
+    with pytest.raises(InvalidKeyOrder):
+        files.check_sorted(log.unionAll(spark.createDataFrame([(0, 1, "b", 4)], log.schema)))
+
+
+def test_merging_values(spark):
+    from pyspark.sql import functions as F
+
+    log = spark.createDataFrame([(0, "k", s, int(s % 11 == 0), None if s % 11 == 0 else f"v{s}") for s in range(1, 40)] + [(0, "j", 50, 0, "only")], "cf int, user_key string, seq long, op int, value string")
+    join = lambda a, b: F.concat(a, F.lit("+"), b)
+    merge = compaction.MergeOperator("plus", join, join=join)
+    want = {"k": "+".join(f"v{s}" for s in range(34, 40)), "j": "only"}
+    assert {r.user_key: r.value for r in compaction.merged(log, merge).collect()} == want
+    assert {r.user_key: r.merged for r in compaction._folded(compaction.operands(log), visibility.KEY, merge, width=2).collect()} == want
+    for snapshots in ([], [15, 30]):
+        for bottom in (False, True):
+            kept = compaction.compact(log, snapshots, bottom, merge)
+            for s in [*snapshots, None]:
+                assert sorted(map(str, compaction.merged(kept, merge, s).collect())) == sorted(map(str, compaction.merged(log, merge, s).collect()))
+    first = compaction.MergeOperator("first", lambda a, v: a)
+    assert {r.user_key: r.value for r in compaction.merged(log, first).collect()} == {"k": "v34", "j": "only"}
+
+
+def test_bloom_filters_miss_nothing(spark):
+    keys = spark.createDataFrame([(i % 3, f"key{i}") for i in range(900)], "file int, user_key string")
+    bloom = filters.POLICIES["bloom"](10)
+    built = bloom.build(keys, ["file"])
+    assert sorted(map(tuple, bloom.may_match(keys, built, ["file"]).collect())) == sorted(map(tuple, keys.collect()))
+    others = spark.createDataFrame([(i % 3, f"other{i}") for i in range(900)], "file int, user_key string")
+    assert 0 < bloom.may_match(others, built, ["file"]).count() < 45
+    assert bloom.may_match(others, built.limit(0), ["file"]).count() == 0
+
+
+def test_cache_is_least_recently_used(spark):
+    from collections import OrderedDict
+
+    rnd = __import__("random").Random(2)
+    accesses = [(t, rnd.randrange(40), rnd.randrange(6) * 4096) for t in range(3000)]
+    got = {r.shard: (r.accesses, r.hits, r.evictions) for r in cache.simulate(spark.createDataFrame(accesses, "at long, file_no long, offset long").repartition(5), 7).collect()}
+    want, held = {}, {}
+    for _, f, o in accesses:
+        shard = (f ^ (o << 17)) & 15
+        lru, n = held.setdefault(shard, OrderedDict()), want.setdefault(shard, [0, 0, 0])
+        n[0] += 1
+        if (f, o) in lru:
+            n[1] += 1
+            lru.move_to_end((f, o))
+        else:
+            n[2] += len(lru) >= 7
+            if len(lru) >= 7:
+                lru.popitem(last=False)
+            lru[f, o] = 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_catalog_fold(spark):
     schema = "edit_id long, cf int, kind string, level int, file_number long, smallest_key string, largest_key string, file_size long, cf_name string, next_file_number long, last_sequence long"
     none = (None,) * 3

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the record formats.
+BATCH_TAG, PUT_TAG, DELETE_TAG = 1, 1, 2
 BLOCK_BYTES, HEADER_BYTES = 32_768, 7
 CRC_MASK_DELTA = 0xA282EAD8
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
@@ -80,3 +81,88 @@ def bloom_hashes(bits_per_key: int) -> int:
 
 def file_name(n: Column, suffix: str) -> Column:
     return F.format_string(f"%06d.{suffix}", n)
+
+
+def shared_bytes(a: Column, b: Column) -> Column:
+    """Length in bytes of the longest common prefix of two strings or binaries."""
+    x, y = a.cast("binary"), b.cast("binary")
+    n = F.least(F.octet_length(x), F.octet_length(y))
+    differs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
+    first = F.array_position(differs, F.lit(True)).cast("int")
+    return F.when(n == 0, 0).when(first == 0, n).otherwise(first - 1)
+
+
+# bytes, in hex: what is written, and read back ------------------------------------------------------------------------
+
+
+def read_fixed(h: Column, at: Column | int, width: int) -> Column:
+    """The little-endian integer of width bytes (up to 8, below 2^63) from byte `at` of a hex string."""
+    at = F.lit(at) if isinstance(at, int) else at
+    parts = [F.substring(h, 2 * (at + (width - 1 - i)) + 1, F.lit(2)) for i in range(width)]
+    return F.conv(F.concat(*parts), 16, 10).cast("long")
+
+
+def read_varint(h: Column, at: Column | int) -> Column:
+    """(value, next): the varint from byte `at` of a hex string of values below 2^63, and where it ends; null if it does not."""
+    at = F.lit(at) if isinstance(at, int) else at
+    byte = lambda i: F.conv(F.substring(h, 2 * (at + i) + 1, F.lit(2)), 16, 10).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(acc: Column, i: Column) -> Column:
+        b = byte(i)
+        more = F.struct((acc["v"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), i * 7)).alias("v"), (acc["n"] + 1).alias("n"), (b < 128).alias("done"))
+        return F.when(acc["done"], acc).otherwise(more)
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(8)), start, step)
+    return F.when(out["done"], F.struct(out["v"].alias("value"), (at + out["n"]).alias("next")))
+
+
+def read_prefixed(h: Column, at: Column | int) -> Column:
+    """(value, next): the length-prefixed bytes, in hex, from byte `at` of a hex string; null if they are cut off."""
+    n = read_varint(h, at)
+    end = n["next"] + n["value"].cast("int")
+    return F.when(2 * end <= F.length(h), F.struct(F.substring(h, 2 * n["next"] + 1, 2 * n["value"].cast("int")).alias("value"), end.alias("next")))
+
+
+def _hex(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
+def encode_entry(cf: Column, op: Column, key: Column, value: Column) -> Column:
+    """One entry of a write batch in hex: kind, family, length and bytes of the key, and for a put those of the value."""
+    head = F.concat(F.when(op == 0, F.lit(f"{PUT_TAG:02x}")).otherwise(f"{DELETE_TAG:02x}"), fixed_hex(cf.cast("long"), 4), fixed_hex(F.octet_length(key).cast("long"), 4), _hex(key.cast("binary")))
+    return F.when(op == 0, F.concat(head, fixed_hex(F.octet_length(value).cast("long"), 4), _hex(value.cast("binary")))).otherwise(head)
+
+
+def encode_batch(base: Column, entries: Column) -> Column:
+    """The bytes of a write batch: tag, first sequence number, number of entries, and the entries (an array of hex strings)."""
+    return F.unhex(F.concat(F.lit(f"{BATCH_TAG:02x}"), fixed_hex(base, 8), fixed_hex(F.size(entries).cast("long"), 4), F.array_join(entries, "")))
+
+
+def decode_batch(record: Column) -> Column:
+    """(base, entries of (cf, op, user_key, value)) of the bytes of a write batch; null if its tag is another, an entry is cut off, unknown, or bytes are left over.
+
+    Whole or not at all: a torn batch gives no entry.
+    """
+    h, n = _hex(record), F.octet_length(record)
+    entry = "array<struct<cf:int,op:int,user_key:binary,value:binary>>"
+    start = F.struct(F.lit(13).alias("at"), F.lit(True).alias("ok"), F.array().cast(entry).alias("out"))
+    part = lambda at, size: F.unhex(F.substring(h, 2 * at + 1, 2 * size))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        kind, key_size = F.substring(h, 2 * at + 1, F.lit(2)), F.least(read_fixed(h, at + 5, 4), n + 1).cast("int")
+        put, after = kind == f"{PUT_TAG:02x}", at + 9 + key_size
+        value_size = F.when(put, F.least(read_fixed(h, after, 4), n + 1).cast("int")).otherwise(0)
+        end = after + F.when(put, 4 + value_size).otherwise(0)
+        ok = acc["ok"] & (put | (kind == f"{DELETE_TAG:02x}")) & (at + 9 <= n) & (after + F.when(put, 4).otherwise(0) <= n) & (end <= n)
+        one = F.struct(read_fixed(h, at + 1, 4).cast("int").alias("cf"), F.when(put, 0).otherwise(1).alias("op"), part(at + 9, key_size).alias("user_key"), F.when(put, part(after + 4, value_size)).alias("value"))
+        good, bad = F.struct(end.alias("at"), F.lit(True).alias("ok"), F.concat(acc["out"], F.array(one)).alias("out")), F.struct(at.alias("at"), F.lit(False).alias("ok"), acc["out"].alias("out"))
+        return F.when(F.coalesce(ok, F.lit(False)), good).otherwise(bad)
+
+    count = read_fixed(h, 9, 4)
+    # an entry has 9 bytes at least: a count beyond that is torn, and is not walked
+    places = F.when(count > 0, F.sequence(F.lit(1), F.least(count, F.ceil(n / 9)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    done = F.aggregate(places, start, step)
+    head = (n >= 13) & F.startswith(h, F.lit(f"{BATCH_TAG:02x}")) & (count <= F.ceil(n / 9))
+    return F.when(head & done["ok"] & (done["at"] == n), F.struct(read_fixed(h, 1, 8).alias("base"), done["out"].alias("entries")))

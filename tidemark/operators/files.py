@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import running
-from ..schema import DELETE
-
+from ..functions.codec import shared_bytes
+from ..functions.prefix import numbered, range_of, running, sampled_cuts
+from ..schema import DELETE, InvalidKeyOrder
 
+#: A catalog of more files than this meets its probes by key ranges.
 MAX_BROADCAST_FILES = 100_000
 
 
@@ -20,12 +21,20 @@ def file_stats(log: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def candidates(probes: DataFrame, files: DataFrame, n_files: int | None = None) -> DataFrame:
-    """Probes (cf, user_key) with the files whose key range holds them. The catalog is broadcast if it is known to be small."""
-    f = files if n_files is None or n_files > MAX_BROADCAST_FILES else F.broadcast(files)
-    p, f = probes.alias("p"), f.alias("f")
-    hit = (F.col("p.cf") == F.col("f.cf")) & (F.col("p.user_key") >= F.col("f.smallest_key")) & (F.col("p.user_key") <= F.col("f.largest_key"))
-    return p.join(f, hit).select("p.*", *(F.col(f"f.{c}") for c in files.columns if c not in ("cf", *probes.columns)))
+def candidates(probes: DataFrame, files: DataFrame, most: int = MAX_BROADCAST_FILES, ranges: int = 128) -> DataFrame:
+    """Probes (cf, user_key) with the files whose key range holds them.
+
+    The catalog is counted: up to `most` files are broadcast, and no probe is shuffled. More are dealt to all key ranges they meet, and
+    each probe to its one range, so that a probe meets the files of its range alone. The result is the same.
+    """
+    p, own = probes.alias("p"), [c for c in files.columns if c not in ("cf", *probes.columns)]
+    inside = (F.col("p.cf") == F.col("f.cf")) & (F.col("p.user_key") >= F.col("f.smallest_key")) & (F.col("p.user_key") <= F.col("f.largest_key"))
+    if files.limit(most + 1).count() <= most:
+        return p.join(F.broadcast(files.alias("f")), inside).select("p.*", *(F.col(f"f.{c}") for c in own))
+    cuts = sampled_cuts(files, "smallest_key", ranges)
+    p = probes.withColumn("_range", range_of(F.col("user_key"), cuts)).alias("p")
+    f = files.withColumn("_range", F.explode(F.sequence(range_of(F.col("smallest_key"), cuts), range_of(F.col("largest_key"), cuts)))).alias("f")
+    return p.join(f, inside & (F.col("p._range") == F.col("f._range"))).select(*(F.col(f"p.{c}") for c in probes.columns), *(F.col(f"f.{c}") for c in own))
 
 
 def overlapping(files: DataFrame, begin: str | None, end: str | None) -> DataFrame:
@@ -74,13 +83,17 @@ def order_violations(log: DataFrame) -> DataFrame:
     return log.withColumn("previous_key", before).where(F.col("previous_key") >= F.col("user_key"))
 
 
-def shared_prefixes(keys: DataFrame, restart: int = 16) -> DataFrame:
-    """Prefix compression of sorted keys (cf, user_key): shared bytes with the key before, none at a restart."""
-    order = Window.partitionBy("cf").orderBy("user_key")
-    placed = keys.withColumn("entry", F.row_number().over(order) - 1).withColumn("_before", F.lag("user_key").over(order))
-    shared = F.size(F.filter(F.sequence(F.lit(1), F.lit(12)), lambda i: F.col("user_key").substr(F.lit(1), i) == F.col("_before").substr(F.lit(1), i)))
-    at_restart = (F.col("entry") % restart == 0) | F.col("_before").isNull()
-    out = placed.withColumn("shared", F.when(at_restart, 0).otherwise(shared))
-    return out.select("cf", "user_key", "entry", "shared", (F.length("user_key") - F.col("shared")).alias("non_shared"))
+def check_sorted(log: DataFrame) -> DataFrame:
+    """The log itself, if the keys of each of its files rise strictly in arrival order; an error if not."""
+    bad = order_violations(log).select("cf", "file_no", "user_key").limit(1).collect()
+    if bad:
+        raise InvalidKeyOrder(f"family {bad[0].cf}, file {bad[0].file_no}: {bad[0].user_key!r} is not above the key before it")
+    return log
 
 
+def shared_prefixes(keys: DataFrame, restart: int = 16, ranges: int = 128) -> DataFrame:
+    """Prefix compression of sorted keys (cf, user_key): bytes shared with the key before, none at a restart; keys of any length."""
+    placed = numbered(keys, ["cf"], "user_key", "entry", "_previous", ranges)
+    at_restart = (F.col("entry") % restart == 0) | F.col("_previous").isNull()
+    out = placed.withColumn("shared", F.when(at_restart, 0).otherwise(shared_bytes(F.col("user_key"), F.col("_previous"))))
+    return out.select("cf", "user_key", "entry", "shared", (F.octet_length("user_key") - F.col("shared")).alias("non_shared"))

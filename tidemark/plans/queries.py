@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions.prefix import running
-from ..operators import commands, compaction, files, visibility
+from ..operators import cache, commands, compaction, files, visibility
+from ..operators.filters import BloomFilter
 from ..operators.visibility import KEY
+from ..sources import wal
 from ..sources.adapters import edit_log, events_log, table
 
 #: The change log and what hangs on it, for the SQL side.
@@ -72,12 +74,12 @@ def get_at_snapshot(log, spark, sf_dir):
 
 
 @query(
-    """, R AS (SELECT event_id AS request_id, CAST(user_id % 2 AS INT) AS cf, printf('%012d', user_id) AS user_key, event_id // 2 + 1 AS at_seq FROM events WHERE event_id % 97 = 0)
+    """, R AS (SELECT event_id AS request_id, CAST(user_id % 2 AS INT) AS cf, printf('%012d', user_id) AS user_key, event_id // 2 + 1 AS at_seq FROM events)
 SELECT request_id, R.cf, R.user_key, at_seq, CASE WHEN op = 0 THEN seq END AS found_seq, CASE WHEN op = 0 THEN value END AS value
 FROM R ASOF LEFT JOIN L ON R.cf = L.cf AND R.user_key = L.user_key AND R.at_seq >= L.seq"""
 )
 def multi_get_asof(log, spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 97 = 0")
+    e = table(spark, sf_dir, "events")
     requests = e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 2).cast("int").alias("cf"), F.format_string("%012d", "user_id").alias("user_key"), F.expr("event_id div 2 + 1").alias("at_seq"))
     return visibility.asof(requests, log)
 
@@ -92,9 +94,11 @@ def seek_scan(log, spark, sf_dir):
     return visibility.live(log.where(F.col("user_key") >= HIGH)).orderBy(*KEY)
 
 
-@query(f"SELECT cf, min(user_key) AS user_key FROM V WHERE user_key >= '{HIGH}' GROUP BY cf", NEW)
+@query(f"SELECT cf, min(user_key) AS user_key, arg_min(seq, user_key) AS seq, arg_min(value, user_key) AS value FROM V WHERE user_key >= '{HIGH}' GROUP BY cf", NEW)
 def lower_bound(log, spark, sf_dir):
-    return visibility.live(log.where(F.col("user_key") >= HIGH)).groupBy("cf").agg(F.min("user_key").alias("user_key"))
+    """The first live key at or above a bound in each family, with its value."""
+    first = F.min(F.struct("user_key", "seq", "value")).alias("v")
+    return visibility.live(log.where(F.col("user_key") >= HIGH)).groupBy("cf").agg(first).select("cf", "v.user_key", "v.seq", "v.value")
 
 
 @query("SELECT cf, user_key, seq, value FROM V", NEW)
@@ -172,11 +176,35 @@ def batch_summary(log, spark, sf_dir):
     )
 
 
-@query("SELECT batch_id, ordinal, cf, user_key, op, value FROM L")
+def _le(x: str, width: int) -> str:
+    """SQL: a little-endian integer in hex."""
+    return f"printf('{'%02x' * width}', {', '.join(f'({x} // {256**i}) % 256' for i in range(width))})"
+
+
+ENCODED = f""", T AS (SELECT *, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS v FROM L),
+N1 AS (SELECT *, CASE WHEN op = 0 THEN '01' ELSE '02' END || {_le("cf", 4)} || {_le("length(user_key)", 4)} || lower(hex(user_key)) || CASE WHEN op = 0 THEN {_le("length(v)", 4)} || lower(hex(v)) ELSE '' END AS e FROM T),
+R AS (SELECT batch_id, '01' || {_le("min(seq)", 8)} || {_le("count(*)", 4)} || string_agg(e, '' ORDER BY ordinal) AS record_hex FROM N1 GROUP BY batch_id)"""
+
+
+def _records(log: DataFrame) -> DataFrame:
+    """batch_id and the bytes of each batch (record); values are cents, as text."""
+    cents = F.round(F.col("value") * 100).cast("long").cast("string")
+    entry = codec.encode_entry(F.col("cf"), F.col("op"), F.col("user_key"), cents).alias("e")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry))), lambda x: x["e"])
+    return log.groupBy("batch_id").agg(F.min("seq").alias("base"), ordered.alias("entries")).select("batch_id", codec.encode_batch(F.col("base"), F.col("entries")).alias("record"))
+
+
+@query("SELECT batch_id, record_hex, CAST(length(record_hex) // 2 AS BIGINT) AS n_bytes FROM R", L + ENCODED)
+def batch_encode(log, spark, sf_dir):
+    """The bytes of each write batch."""
+    return _records(log).select("batch_id", F.lower(F.hex("record")).alias("record_hex"), F.octet_length("record").cast("long").alias("n_bytes"))
+
+
+@query("SELECT batch_id, ordinal, cf, user_key, op, v AS value FROM T", L + ENCODED)
 def batch_decode(log, spark, sf_dir):
-    """Encode each batch as one record, and decode the records."""
-    records = log.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", *KEY, "op", "value"))).alias("entries"))
-    return records.select("batch_id", F.posexplode("entries").alias("place", "e")).select("batch_id", F.col("place").cast("long").alias("ordinal"), "e.cf", "e.user_key", "e.op", "e.value")
+    """Encode each batch as bytes, and decode the bytes."""
+    decoded = _records(log).withColumn("b", codec.decode_batch(F.col("record")))
+    return decoded.select("batch_id", F.posexplode("b.entries").alias("i", "e")).select("batch_id", F.col("i").cast("long").alias("ordinal"), "e.cf", F.col("e.user_key").cast("string").alias("user_key"), "e.op", F.col("e.value").cast("string").alias("value"))
 
 
 @query("SELECT batch_id, CAST(13 + sum(CASE WHEN op = 0 THEN 13 + length(user_key) + 8 ELSE 9 + length(user_key) END) AS BIGINT) AS encoded_bytes FROM L GROUP BY batch_id")
@@ -214,22 +242,16 @@ def flush_l0(log, spark, sf_dir):
     return files.file_stats(log, ["cf", "file_no"])
 
 
-@query("SELECT cf, file_no, count(*) AS num_entries, CAST(sum(CASE WHEN op = 0 THEN 8 ELSE 0 END) AS BIGINT) AS data_size, max(seq) AS max_sequence, min(user_key) AS smallest_key, max(user_key) AS largest_key FROM L GROUP BY cf, file_no")
-def table_properties(log, spark, sf_dir):
-    size = F.sum(F.when(F.col("op") == 0, 8).otherwise(0)).alias("data_size")
-    return log.groupBy("cf", "file_no").agg(F.count("*").alias("num_entries"), size, F.max("seq").alias("max_sequence"), F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"))
-
-
 @query("SELECT cf, file_no, max_seq FROM F WHERE max_seq <= 5000", FILES)
 def fully_visible_files(log, spark, sf_dir):
     return files.file_stats(log, ["cf", "file_no"]).where(F.col("max_seq") <= SNAPSHOT).select("cf", "file_no", "max_seq")
 
 
-PROBES = ", P AS (SELECT DISTINCT cf, user_key FROM L WHERE seq % 101 = 0)"
+PROBES = ", P AS (SELECT DISTINCT cf, user_key FROM L)"
 
 
 def _probes(log: DataFrame) -> DataFrame:
-    return log.where(F.col("seq") % 101 == 0).select(*KEY).distinct()
+    return log.select(*KEY).distinct()
 
 
 @query("SELECT P.cf, P.user_key, file_no FROM P JOIN F ON P.cf = F.cf AND P.user_key BETWEEN smallest_key AND largest_key", FILES + PROBES)
@@ -237,11 +259,12 @@ def candidate_files(log, spark, sf_dir):
     return files.candidates(_probes(log), flush_l0(log, spark, sf_dir).select("cf", "file_no", "smallest_key", "largest_key")).select(*KEY, "file_no")
 
 
-@query("SELECT P.cf, P.user_key, max(L.file_no) AS file_no, max(L.seq) AS seq FROM P JOIN L ON P.cf = L.cf AND P.user_key = L.user_key GROUP BY 1, 2", FILES + PROBES)
+@query("SELECT cf, user_key, file_no, seq, op = 1 AS deleted, value FROM N", NEW)
 def level_lookup(log, spark, sf_dir):
-    """Level 0, newest file first: prune by key range, then the newest version among the candidates."""
+    """Level 0, newest file first: prune by key range, then the newest version among the candidates; a tombstone says that the key is gone."""
     hit = files.candidates(_probes(log), flush_l0(log, spark, sf_dir).select("cf", "file_no", "smallest_key", "largest_key")).select(*KEY, "file_no")
-    return log.join(hit, [*KEY, "file_no"]).groupBy(*KEY).agg(F.max("file_no").alias("file_no"), F.max("seq").alias("seq"))
+    newest = F.max_by(F.struct("file_no", "seq", "op", "value"), F.struct("file_no", "seq")).alias("v")
+    return log.join(hit, [*KEY, "file_no"]).groupBy(*KEY).agg(newest).select(*KEY, "v.file_no", "v.seq", (F.col("v.op") == 1).alias("deleted"), "v.value")
 
 
 LEVEL1 = ", L1 AS (SELECT cf, CAST(CAST(user_key AS BIGINT) // 16 AS BIGINT) AS file_number, min(user_key) AS smallest_key, max(user_key) AS largest_key FROM L GROUP BY 1, 2)"
@@ -249,12 +272,9 @@ LEVEL1 = ", L1 AS (SELECT cf, CAST(CAST(user_key AS BIGINT) // 16 AS BIGINT) AS
 
 @query("SELECT P.cf, P.user_key, file_number FROM P JOIN L1 ON P.cf = L1.cf AND P.user_key BETWEEN smallest_key AND largest_key", L + PROBES + LEVEL1)
 def sorted_level_probe(log, spark, sf_dir):
-    """Disjoint files: each probe meets one at most, so the range join is an as-of join on the smallest key."""
+    """Disjoint files: each probe meets one at most."""
     level = log.groupBy("cf", F.expr("CAST(user_key AS BIGINT) div 16").alias("file_number")).agg(F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"))
-    both = _probes(log).withColumn("f", F.lit(None).cast("struct<file_number:bigint,largest_key:string>")).unionByName(level.select("cf", F.col("smallest_key").alias("user_key"), F.struct("file_number", "largest_key").alias("f")))
-    at = F.last("f", ignorenulls=True).over(Window.partitionBy("cf").orderBy("user_key", F.col("f").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    met = both.withColumn("own", at).where("f is null and user_key <= own.largest_key")
-    return met.select(*KEY, "own.file_number")
+    return files.candidates(_probes(log), level).select(*KEY, "file_number")
 
 
 @query(f"SELECT file_no, cf, user_key, seq, op, value FROM L WHERE file_no = 3 AND user_key = '{POINT}'")
@@ -277,6 +297,21 @@ def block_index(log, spark, sf_dir):
     return files.blocks(log, ["cf", "file_no"])
 
 
+@query(
+    """SELECT cf, file_no, count(*) AS num_entries, CAST(sum(CASE WHEN op = 0 THEN 8 ELSE 0 END) AS BIGINT) AS data_size, any_value(index_size) AS index_size,
+       CAST((greatest(count(DISTINCT user_key) * 10, 64) + 7) // 8 + 1 AS BIGINT) AS filter_size, max(seq) AS max_sequence, min(user_key) AS smallest_key, max(user_key) AS largest_key
+FROM L JOIN (SELECT cf, file_no, CAST(sum(length(last_key) + 16) AS BIGINT) AS index_size FROM I GROUP BY 1, 2) USING (cf, file_no) GROUP BY cf, file_no""",
+    L + BLOCKS,
+)
+def table_properties(log, spark, sf_dir):
+    """index_size: a key and a handle of 16 bytes for each block; filter_size: a Bloom filter of 10 bits a key and its number of hashes."""
+    size = F.sum(F.when(F.col("op") == 0, 8).otherwise(0)).alias("data_size")
+    index = files.blocks(log, ["cf", "file_no"]).groupBy("cf", "file_no").agg(F.sum(F.octet_length("last_key") + 16).alias("index_size"))
+    keys = log.groupBy("cf", "file_no", "user_key").agg(F.count("*").alias("n"), size, F.max("seq").alias("seq"))
+    own = keys.groupBy("cf", "file_no").agg(F.sum("n").alias("num_entries"), F.sum("data_size").alias("data_size"), (codec.bloom_bits(F.count("*"), 10) / 8 + 1).cast("long").alias("filter_size"), F.max("seq").alias("max_sequence"), F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"))
+    return own.join(index, ["cf", "file_no"])
+
+
 @query(f"SELECT cf, file_no, min(block_no) AS block_no FROM I WHERE last_key >= '{HIGH}' GROUP BY cf, file_no", L + BLOCKS)
 def block_lookup(log, spark, sf_dir):
     return files.blocks(log, ["cf", "file_no"]).where(F.col("last_key") >= HIGH).groupBy("cf", "file_no").agg(F.min("block_no").alias("block_no"))
@@ -338,14 +373,30 @@ def merge_sum(log, spark, sf_dir):
     return compaction.merge_sum(log)
 
 
-@query("SELECT cf, user_key, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS appended FROM O GROUP BY 1, 2", L + OPERANDS)
+CENTS = "CAST(round(value * 100) AS BIGINT)"
+
+
+@query(f"SELECT cf, user_key, string_agg(CAST({CENTS} AS VARCHAR), ',' ORDER BY seq) AS appended FROM O GROUP BY 1, 2", L + OPERANDS)
 def merge_append(log, spark, sf_dir):
-    return compaction.merge_append(log)
+    return compaction.merge_append(log.withColumn("value", F.round(F.col("value") * 100).cast("long").cast("string")))
 
 
-@query("SELECT cf, user_key, CAST(list_reduce(list_prepend(CAST(7 AS BIGINT), list(seq ORDER BY seq)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded FROM O GROUP BY 1, 2", L + OPERANDS)
+@query(f"SELECT cf, user_key, CAST(list_reduce(list_prepend(CAST(7 AS BIGINT), list({CENTS} ORDER BY seq)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded FROM O GROUP BY 1, 2", L + OPERANDS)
 def merge_fold(log, spark, sf_dir):
-    return compaction.merge_fold(log, F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003)
+    return compaction.merge_fold(log.withColumn("value", F.round(F.col("value") * 100).cast("long")), F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003)
+
+
+@query(
+    f""", Q AS (SELECT *, {CENTS} AS cents, CASE WHEN seq <= 2500 THEN 0 WHEN seq <= 6000 THEN 1 ELSE 2 END AS s FROM L),
+D AS (SELECT cf, user_key, s, max(seq) AS cut FROM Q WHERE op = 1 GROUP BY 1, 2, 3)
+SELECT cf, user_key, cut AS seq, 1 AS op, NULL AS value FROM D WHERE s > 0
+UNION ALL SELECT cf, user_key, max(seq), 0, string_agg(CAST(cents AS VARCHAR), ',' ORDER BY seq) FROM Q LEFT JOIN D USING (cf, user_key, s) WHERE op = 0 AND (cut IS NULL OR seq > cut) GROUP BY cf, user_key, s"""
+)
+def compact_merged(log, spark, sf_dir):
+    """A bottom compaction of a family whose values append: each stripe's puts become one, after the tombstone that cuts off older ones."""
+    comma = lambda a, b: F.concat(a, F.lit(","), b)
+    listed = log.withColumn("value", F.round(F.col("value") * 100).cast("long").cast("string"))
+    return compaction.compact(listed, list(LATE), bottom=True, merge=compaction.MergeOperator("list", comma, join=comma))
 
 
 # catalog ------------------------------------------------------------------------------------------------------------
@@ -387,12 +438,20 @@ def cf_catalog(log, spark, sf_dir):
 # the log ------------------------------------------------------------------------------------------------------------
 
 
-@query(", C AS (SELECT batch_id FROM L WHERE batch_id % 10 <> 3 OR ordinal <> 7 GROUP BY batch_id HAVING count(*) = 8) SELECT seq, cf, user_key, op, value FROM L WHERE batch_id IN (SELECT batch_id FROM C)")
+@query("SELECT seq, cf, user_key, op, v AS value FROM T WHERE batch_id % 10 <> 3", L + ENCODED)
 def wal_replay(log, spark, sf_dir):
-    """Replay a log that lost the last entry of some batches: a batch is replayed whole or not at all."""
-    left = log.where(~((F.col("batch_id") % 10 == 3) & (F.col("ordinal") == 7)))
-    whole = left.groupBy("batch_id").agg(F.count("*").alias("n")).where("n = 8").select("batch_id")
-    return left.join(whole, "batch_id", "left_semi").select("seq", *KEY, "op", "value").orderBy("seq")
+    """Replay records of which some lost their last bytes: a batch is replayed whole or not at all."""
+    torn = F.when(F.col("batch_id") % 10 == 3, F.substring("record", F.lit(1), F.octet_length("record") - 3)).otherwise(F.col("record"))
+    found = wal.entries(_records(log).select(torn.alias("record")))
+    return found.select("seq", "cf", F.col("user_key").cast("string").alias("user_key"), "op", F.col("value").cast("string").alias("value")).orderBy("seq")
+
+
+@query("SELECT doc_id // 64 AS log, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) - 1 AS ordinal, sha256(coalesce(text, '')) AS record_sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents", "")
+def wal_read_back(log, spark, sf_dir):
+    """Write long records as the fragments of log files, and read the files' bytes: checksums are tested, fragments joined."""
+    docs = table(spark, sf_dir, "documents")
+    records = docs.select(F.expr("doc_id div 64").alias("log"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).cast("binary").alias("record"))
+    return wal.unframed(wal.framed(records)).select("log", "ordinal", F.sha2("record", 256).alias("record_sha256"), F.octet_length("record").cast("long").alias("n_bytes"))
 
 
 @query(
@@ -415,9 +474,16 @@ def durable_watermark(log, spark, sf_dir):
     return running(notices, [], "batch_id", "pending_seq", "synced_seq", "max")
 
 
-@query()
+BYTES = "list_transform(string_split({}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+
+
+@query(
+    f""", C AS (SELECT seq, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {BYTES.format("chr(1) || user_key || CAST(seq AS VARCHAR)")}),
+       lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END))) AS crc FROM L)
+SELECT seq, crc, ((crc // 32768) + (crc % 32768) * 131072 + 2726488792) % 4294967296 AS masked FROM C"""
+)
 def record_checksum(log, spark, sf_dir):
-    """IEEE CRC-32 over the record type and the payload, and its masked form. SQL of the other engine has no CRC."""
+    """IEEE CRC-32 over the record type and the payload, and its masked form."""
     crc = F.crc32(F.concat(F.char(F.lit(1)), F.col("user_key"), F.col("seq").cast("string")))
     return log.select("seq", crc.alias("crc"), codec.crc_mask(crc).alias("masked"))
 
@@ -431,7 +497,7 @@ def internal_key_tag(log, spark, sf_dir):
     return log.select("seq", tag.alias("tag"), codec.tag_seq(tag).alias("seq_back"), codec.tag_op(tag).alias("op_back"))
 
 
-@query("SELECT seq, seq * seq AS v, CASE WHEN seq * seq < 128 THEN 1 WHEN seq * seq < 16384 THEN 2 WHEN seq * seq < 2097152 THEN 3 WHEN seq * seq < 268435456 THEN 4 ELSE 5 END AS varint_bytes FROM L WHERE seq <= 100000")
+@query(f"SELECT seq, seq * seq AS v, CASE {' '.join(f'WHEN seq * seq < {1 << 7 * n} THEN {n}' for n in range(1, 9))} ELSE 9 END AS varint_bytes FROM L")
 def varint_length(log, spark, sf_dir):
     v = F.col("seq") * F.col("seq")
     return log.select("seq", v.alias("v"), codec.varint_length(v).alias("varint_bytes"))
@@ -442,16 +508,24 @@ def fixed_encoding(log, spark, sf_dir):
     return log.select("seq", codec.fixed_hex(F.col("seq"), 4).alias("fixed32"), codec.length_prefixed_bytes(F.col("user_key")).cast("long").alias("prefixed_bytes"))
 
 
-@query(
-    """, K AS (SELECT DISTINCT cf, user_key FROM L), O AS (SELECT cf, user_key, row_number() OVER (PARTITION BY cf ORDER BY user_key) - 1 AS entry, lag(user_key) OVER (PARTITION BY cf ORDER BY user_key) AS b FROM K),
-S AS (SELECT cf, user_key, entry, CASE WHEN entry % 16 = 0 OR b IS NULL THEN 0 ELSE len(list_filter(range(1, 13), lambda i: user_key[1:i] = b[1:i])) END AS shared FROM O)
-SELECT cf, user_key, entry, CAST(shared AS INT) AS shared, CAST(12 - shared AS INT) AS non_shared FROM S"""
-)
+PREFIXES = """O AS (SELECT cf, user_key, row_number() OVER (PARTITION BY cf ORDER BY encode(user_key)) - 1 AS entry, lag(user_key) OVER (PARTITION BY cf ORDER BY encode(user_key)) AS b FROM K),
+S AS (SELECT cf, user_key, entry, CASE WHEN entry % 16 = 0 OR b IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(user_key), length(b)) + 1), lambda i: user_key[1:i] = b[1:i])) END AS shared FROM O)
+SELECT cf, user_key, entry, CAST(shared AS INT) AS shared, CAST(strlen(user_key) - shared AS INT) AS non_shared FROM S"""
+
+
+@query(f", K AS (SELECT DISTINCT cf, user_key FROM L), {PREFIXES}")
 def prefix_compression(log, spark, sf_dir):
     out = files.shared_prefixes(log.select(*KEY).distinct())
     return out.select("cf", "user_key", F.col("entry").cast("long").alias("entry"), "shared", "non_shared")
 
 
+@query(f"WITH K AS (SELECT DISTINCT CAST(page_id % 2 AS INT) AS cf, url AS user_key FROM pages WHERE url IS NOT NULL), {PREFIXES}", "")
+def prefix_compression_urls(log, spark, sf_dir):
+    """The same for keys of mixed length."""
+    keys = table(spark, sf_dir, "pages").where("url is not null").select((F.col("page_id") % 2).cast("int").alias("cf"), F.col("url").alias("user_key"))
+    return files.shared_prefixes(keys.distinct()).select("cf", "user_key", F.col("entry").cast("long").alias("entry"), "shared", "non_shared")
+
+
 @query("SELECT DISTINCT file_no, printf('%06d.sst', file_no) AS sst, printf('%06d.log', file_no) AS wal, printf('MANIFEST-%06d', file_no) AS manifest FROM L")
 def file_names(log, spark, sf_dir):
     n = F.col("file_no")
@@ -465,25 +539,40 @@ def bloom_parameters(log, spark, sf_dir):
     return n.select("cf", "file_no", "n", bits.alias("bits"), (bits / 8 + 1).cast("long").alias("bytes"), F.lit(codec.bloom_hashes(10)).alias("k"))
 
 
-@query("SELECT cf, count(*) AS probed, 0 AS false_negatives FROM (SELECT DISTINCT cf, file_no, user_key FROM L) GROUP BY cf")
-def bloom_no_false_negatives(log, spark, sf_dir):
-    """Build the filters of all files as sets of bit positions, probe every key of every file, and count the misses."""
-    keys = log.select("cf", "file_no", "user_key").distinct()
-    sized = keys.join(keys.groupBy("cf", "file_no").agg(F.count("*").alias("n")), ["cf", "file_no"])
-    h1, h2 = (F.pmod(F.xxhash64("user_key", F.lit(i)), F.lit(1 << 31)) for i in range(2))
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(codec.bloom_hashes(10) - 1)), lambda i: F.pmod(h1 + i * h2, codec.bloom_bits(F.col("n"), 10))))
-    bits = sized.select("cf", "file_no", place.alias("bit")).distinct()
-    probes = sized.select("cf", "file_no", "user_key", place.alias("bit"))
-    missed = probes.join(bits, ["cf", "file_no", "bit"], "left_anti").select("cf", "file_no", "user_key").distinct().groupBy("cf").agg(F.count("*").alias("m"))
-    return keys.groupBy("cf").agg(F.count("*").alias("probed")).join(missed, "cf", "left").select("cf", "probed", F.coalesce("m", F.lit(0)).cast("int").alias("false_negatives"))
+BLOOM = f""", K AS (SELECT DISTINCT cf, file_no, user_key, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {BYTES.format("user_key")}), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS h FROM L),
+H AS (SELECT *, (h // 131072) + (h * 32768) % 4294967296 AS d FROM K), Z AS (SELECT cf, file_no, (greatest(count(*) * 10, 64) + 7) // 8 * 8 AS bits FROM K GROUP BY 1, 2),
+U AS (SELECT H.cf, H.file_no, user_key, unnest(list_transform(range(7), lambda i: ((h + i * d) % 4294967296) % bits)) AS place FROM H JOIN Z USING (cf, file_no)), B AS (SELECT DISTINCT cf, file_no, place FROM U),
+A AS (SELECT H.cf, Z.file_no, H.file_no AS origin, user_key, unnest(list_transform(range(7), lambda i: ((h + i * d) % 4294967296) % bits)) AS place FROM H JOIN Z ON H.cf = Z.cf AND Z.file_no IN (H.file_no, H.file_no + 1)),
+M AS (SELECT A.cf, A.file_no, origin = A.file_no AS own, user_key, bool_and(B.place IS NOT NULL) AS hit FROM A LEFT JOIN B ON A.cf = B.cf AND A.file_no = B.file_no AND A.place = B.place GROUP BY 1, 2, 3, 4)"""
+
+
+@query("SELECT cf, file_no, count(*) FILTER (own) AS own_keys, count(*) FILTER (own AND hit) AS own_hits, count(*) FILTER (NOT own) AS other_keys, count(*) FILTER (NOT own AND hit) AS other_hits FROM M GROUP BY cf, file_no", L + BLOOM)
+def bloom_probe(log, spark, sf_dir):
+    """Build the filters of all files; ask each about its own keys, which it must let through, and about those of the file before."""
+    by, bloom = ["cf", "file_no"], BloomFilter(10)
+    keys = log.select(*by, "user_key").distinct()
+    filters = bloom.build(keys, by)
+    probes = keys.withColumn("own", F.lit(True)).unionAll(keys.select("cf", (F.col("file_no") + 1).alias("file_no"), "user_key", F.lit(False)).join(filters.select(*by).distinct(), by, "left_semi"))
+    hits = bloom.may_match(probes, filters, by).withColumn("hit", F.lit(1))
+    asked = probes.join(hits, [*by, "user_key"], "left")
+    count = lambda own, what: F.count(F.when(F.col("own") == own, F.col(what)))
+    return asked.groupBy(*by).agg(count(True, "user_key").alias("own_keys"), count(True, "hit").alias("own_hits"), count(False, "user_key").alias("other_keys"), count(False, "hit").alias("other_hits"))
 
 
 @query("SELECT seq, CAST(xor(CAST(file_no AS BIGINT), (CAST(seq AS BIGINT) * 4096) * 131072) & 15 AS INT) AS shard FROM L")
 def cache_shards(log, spark, sf_dir):
-    """The cache shard of a block at a file's offset: file number xor the offset rotated left by 17, modulo 16 shards."""
-    offset = F.col("seq") * 4096
-    rotated = F.shiftleft(offset, 17).bitwiseOR(F.shiftrightunsigned(offset, 47))
-    return log.select("seq", F.col("file_no").bitwiseXOR(rotated).bitwiseAND(F.lit(15)).cast("int").alias("shard"))
+    return log.select("seq", cache.shard_of(F.col("file_no"), F.col("seq") * 4096).alias("shard"))
+
+
+@query(
+    """, A AS (SELECT seq AS t, CAST(file_no % 16 AS INT) AS shard, file_no * 1000 + CAST(user_key AS BIGINT) % 50 AS block FROM L),
+P AS (SELECT *, lag(t) OVER (PARTITION BY shard, block ORDER BY t) AS before FROM A),
+H AS (SELECT P.shard, P.t, P.before IS NOT NULL AND (SELECT count(DISTINCT A.block) FROM A WHERE A.shard = P.shard AND A.t > P.before AND A.t < P.t) < 20 AS hit FROM P)
+SELECT shard, count(*) AS accesses, count(*) FILTER (hit) AS hits, greatest(count(*) FILTER (NOT hit) - 20, 0) AS evictions FROM H GROUP BY shard"""
+)
+def cache_simulation(log, spark, sf_dir):
+    """Reads of 50 blocks of each file through shards of 20 blocks."""
+    return cache.simulate(log.select(F.col("seq").alias("at"), "file_no", (F.col("user_key").cast("long") % 50 * 4096).alias("offset")), 20)
 
 
 @query(
