@@ -49,4 +49,8 @@ class NotFound(StoreError): ...
 class InvalidColumnFamily(StoreError): ...
 
 
-class OtherError(StoreError): ...
+def cf_type(number: int) -> str:
+    """The kind of family that a number names in a log entry: user or system."""
+    if number not in CF_NAMES:
+        raise InvalidColumnFamily(str(number))
+    return CF_NAMES[number].removeprefix("cf_")
