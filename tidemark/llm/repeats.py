@@ -5,7 +5,7 @@ A text is a sequence of symbols (words or bytes). A rolling hash runs over all k
 starts, and the symbols from the first start to the last end), so each window of a text lies in exactly one
 phrase, and equal windows have equal triggers at equal places: to find repeats only phrases with equal triggers
 need comparing. A phrase row is (g: hash of the trigger, c: independent hash of the phrase, document, start, n
-windows); rows are combined in a task before any shuffle, so a phrase travels once for about 20 MB of text, however
+windows); rows are combined in a task before any shuffle, so a phrase travels once for about 5 MB of text, however
 often it occurs.
 
 One exchange by trigger and one walk over its sorted rows (`_walk`) settles all phrases: one that is alone under its trigger
@@ -29,6 +29,8 @@ from .common import Poly, arrow_batches, discard, mix, pieces, spread_join, stag
 
 #: A trigger with more different phrases is not held in one task's memory (a phrase is under 600 bytes).
 MANY = 2000
+#: One phrase in SAMPLE tells which triggers have many rows: those that it meets HOT times.
+SAMPLE, HOT = 64, 64
 _LOW = np.uint64(0xFFFFFFFF)
 _TRIGGER, _PHRASE, _LETTERS = Poly(31), Poly(32), Poly(33)
 
@@ -123,7 +125,7 @@ def _rows(doc, start, n, g, c, cnt, old=None) -> pa.RecordBatch:
 
 
 def _phrase_rows(unit: Unit) -> Callable:
-    """For each half million phrases or so of a task: a row for each different one (cnt: 2 if it has more), and ranges (g null) of the other occurrences."""
+    """For each hundred thousand phrases or so of a task: a row for each different one (cnt: 2 if it has more), and ranges (g null) of the other occurrences."""
 
     def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, start, n, g, c = (np.concatenate(x) for x in zip(*held))
@@ -143,7 +145,7 @@ def _phrase_rows(unit: Unit) -> Callable:
                 d, start, n, g, c = phrases(codes, bounds, unit)
                 held.append((ids[i:j][d], start, n, g, c))
                 size += len(d)
-                if size >= 1 << 19:
+                if size >= 1 << 17:
                     yield from combined(held)
                     held, size = [], 0
         if size:
@@ -157,7 +159,7 @@ _WALKED = "kind int, doc long, start int, n int, g long, c long, cnt int, old bo
 RANGE, ASK, FRESH = 0, 1, 2
 
 
-def _walk(keep_first: bool, fresh: bool, salted: bool = False, most: int = 1 << 20) -> Callable:
+def _walk(keep_first: bool, fresh: bool, salted: bool = False, most: int = 1 << 17) -> Callable:
     """Over phrase rows sorted by g, c, old first, document, start: what becomes of each.
 
     Whole triggers are taken together. One with more than `most` rows is cut between its phrases and counts as having different ones,
@@ -365,9 +367,9 @@ def repeated(rows: DataFrame, docs: DataFrame, unit: Unit, keep_first: bool, fre
     here = rows.where("g is not null")
     columns = ["doc", "start", "n", "g", "c", "cnt", "old"]
     settled = lambda part, salt: part.repartition("g", *salt).sortWithinPartitions("g", "c", F.desc("old"), "doc", "start").select(columns).mapInArrow(_walk(keep_first, fresh, bool(salt)), _WALKED)
-    # a trigger with very many rows is dealt out by phrase too; a 64th of all phrases tells which they are, as that decides nothing else
+    # a trigger with very many rows is dealt out by phrase too; a sample of all phrases tells which they are, as that decides nothing else
     total = here.count()
-    hot = stage(here.where("pmod(c, 64) = 0").groupBy("g").count().where(F.col("count") >= max(64, total // 640_000)).select("g"), "repeats-hot")
+    hot = stage(here.where(F.pmod(F.col("c"), F.lit(SAMPLE)) == 0).groupBy("g").count().where(F.col("count") >= max(HOT, total // (10_000 * SAMPLE))).select("g"), "repeats-hot")
     if hot.limit(1).count():
         salt = F.pmod(F.shiftright("c", 7), F.lit(64)).alias("salt")
         parts = settled(here.join(F.broadcast(hot), "g", "left_anti"), []).unionAll(settled(here.join(F.broadcast(hot), "g", "left_semi").select(*columns, salt), ["salt"]))

@@ -19,7 +19,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, read_table, read_text, scratch, stage, word_spans, write_text
@@ -68,10 +68,10 @@ class FingerprintIndex:
         out.table_name, out.scratch_path = name, path
         return out
 
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        name = f"tidemark_new_{uuid.uuid4().hex}"
-        rows.select(*_RUN).repartition(self.buckets, "g").sortWithinPartitions("g", "c").write.bucketBy(self.buckets, "g").sortBy("g", "c").format("parquet").option("path", path).saveAsTable(name)
+    def _write(self, dealt: DataFrame) -> str:
+        """Write rows that lie in as many partitions as there are buckets, by trigger, as a run."""
+        path, name = f"{self.folder}/run-{uuid.uuid4().hex}", f"tidemark_new_{uuid.uuid4().hex}"
+        dealt.select(*_RUN).write.bucketBy(self.buckets, "g").sortBy("g", "c").format("parquet").option("path", path).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
         return path
 
@@ -112,18 +112,22 @@ class FingerprintIndex:
             texts = texts.unionAll(self.history.select("doc", F.lit(True).alias("old"), "text"))
         ranges, fresh = repeated(both, texts, WORDS, keep_first=True, fresh=True)
         out = stage(finish(batch, ranges, WORDS, _kernel(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text), "op1-result")
-        self._list([*self.paths, self._write(fresh)])
+        self._list([*self.paths, self._write(fresh.repartition(self.buckets, "g"))])
         self.history = batch.select("doc", "text") if self.history is None else self.history.unionAll(batch.select("doc", "text"))
         discard(rows, ranges, fresh, *known)
         return out
 
-    def compact(self) -> None:
-        """Merge all runs into one; of equal fingerprints the earliest stays."""
-        merged = self.runs[0].select(*_RUN)
+    def merged(self) -> DataFrame:
+        """All runs as one, bucket by bucket: nothing is shuffled. Of equal fingerprints the earliest stays."""
+        out = self.runs[0].select(*_RUN)
         for r in self.runs[1:]:
-            merged = merged.unionAll(r.select(*_RUN))
-        first = merged.groupBy("g", "c").agg(F.min(F.struct("doc", "start", "n")).alias("f")).select("f.doc", "f.start", "f.n", "g", "c")
-        self._list([self._write(first)])
+            out = out.unionAll(r.select(*_RUN))
+        before = F.lag("c").over(Window.partitionBy("g").orderBy("c", "doc", "start"))
+        return out.withColumn("before", before).where("before IS NULL OR before != c").drop("before")
+
+    def compact(self) -> None:
+        """Merge all runs into one."""
+        self._list([self._write(self.merged())])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, max_runs: int = 1, with_text: bool = False) -> DataFrame:
