@@ -10,7 +10,7 @@ A pass needs only the nodes of the last max_piece bytes, and where all surviving
 one boundary, everything before it is final: its ids are committed and the window starts anew (`StreamingViterbi`).
 A space after something else, if spaces only ever begin pieces, is such a boundary for any text, so a text falls into segments
 whose ids do not depend on each other. Every segment goes through the same streaming pass; a worker keeps the ids of
-up to CACHE short segments, so a word is encoded once for very many occurrences.
+about twice CACHE short segments, so a word is encoded once for many occurrences, and one that begins as the one before goes on from its nodes.
 
 A space stands for the model's space mark; a literal mark in a text has no piece and is kept as bytes, so decoding gives
 back every text exactly. As in the model's own encoder, one space goes before a text that is not empty.
@@ -19,7 +19,7 @@ back every text exactly. As in the model's own encoder, one space goes before a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Poly, arrow_batches, pieces, read_table, texts
 
 MARK = "▁"
-#: Segments, and pairs of pieces, whose outcome a worker remembers; at the bound it forgets all. Only segments of up to 64 bytes are kept.
+#: Segments of up to 64 bytes, and pairs of pieces, whose outcome a worker remembers; at the bound it forgets those that it does not need at once.
 CACHE = 1 << 18
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _POLY, _KEYS = Poly(51), Poly(52)
@@ -46,7 +46,6 @@ class Pieces:
     longest: int
     spaces_lead: bool
     bpe: bool = False
-    apart: dict = field(default_factory=dict, compare=False)
 
     @staticmethod
     def read(path: str, bpe: bool = True) -> Pieces:
@@ -88,121 +87,169 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stay_apart(self, left: bytes, right: bytes) -> bool:
-        """Whether merging leaves two neighbours as they are; an empty left one is the start."""
-        out = self.apart.get((left, right))
-        if out is None:
-            if len(self.apart) >= CACHE:
-                self.apart.clear()
-            out = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+
+class Lattice:
+    """What a worker knows of a model: its pieces by their bytes from the end, and which neighbours stay apart."""
+
+    def __init__(self, model: Pieces):
+        self.model, self.root, self.known = model, {}, {}
+        for text, found in model.table.items():
+            node = self.root
+            for byte in reversed(text):
+                node = node.setdefault(byte, {})
+            node[256] = found
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether merging leaves two neighbouring pieces as they are; -1 is the start, or a character without a piece."""
+        m = self.model
+        a, b = b"" if left < 0 else m.by_id[left], m.by_id[right]
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        out = self.known[(left + 1) << 20 | right] = m.merged(a + b) == ([a, b] if a else [b])
         return out
 
 
 class StreamingViterbi:
     """Feed bytes in any portions; ids come out as soon as they are certain. Holds at most the bytes since the last certain boundary.
 
-    The nodes kept are those of the last `longest` bytes. A path can be alive only if it ends there; once the
-    backpointers of all of them meet in one boundary, what lies before it is committed.
+    A node is the end of a character: the piece of the best path that ends there, and where that piece begins. The next node needs those of
+    the last `longest` bytes, which are looked through backwards as far as a piece can reach. A path can be alive only if it ends among them; once
+    the backpointers of all of them meet in one boundary, what lies before it is committed.
     """
 
-    def __init__(self, model: Pieces):
-        self.model = model
-        self._begin(b"")
+    def __init__(self, lattice: Lattice | Pieces):
+        self.lattice = lattice if isinstance(lattice, Lattice) else Lattice(lattice)
+        self.model = self.lattice.model
+        self.text, self.first, self.ends, self.best = bytearray(), [0], [-1], [0.0]
 
-    def _begin(self, before: bytes) -> None:
-        """before: the piece that ends where the held text begins."""
-        self.text, self.best, self.back, self.ends = bytearray(), [0.0], [(0, -1)], [before]
+    def keep(self, n: int) -> None:
+        """Forget all but the first n bytes of what is held (of a character, all or none)."""
+        while self.ends[n] is None:
+            n -= 1
+        del self.text[n:], self.first[n + 1 :], self.ends[n + 1 :], self.best[n + 1 :]
 
     def feed(self, portion: bytes, last: bool = True) -> list[int]:
-        m, out = self.model, []
         self.text += portion
-        text, table, bpe, apart, known = self.text, self.model.table, self.model.bpe, self.model.stay_apart, self.model.apart
-        while True:
-            e = len(self.best)
-            if e > len(text):
-                break
-            # a boundary lies before the first byte of a character; the next byte may still be missing
-            if e == len(text) and not last or e < len(text) and text[e] & 0xC0 == 0x80:
-                if e == len(text):
-                    break
-                self.best.append(-np.inf)
-                self.back.append((e, -1))
-                self.ends.append(b"")
-                continue
-            top, how, piece, char = -np.inf, (0, -1), b"", e - 1
-            while text[char] & 0xC0 == 0x80:
-                char -= 1
-            for s in range(max(0, e - m.longest), e):
-                if self.best[s] == -np.inf:
-                    continue
-                part = bytes(text[s:e])
-                got = table.get(part)
-                if got is None:
-                    if s != char:
-                        continue
-                    if self.best[s] + m.unknown > top:
-                        top, how, piece = self.best[s] + m.unknown, (s, -1), b""
-                elif bpe:
-                    # one path at most is alive here: the first that is allowed; after bytes nothing merges
-                    pair = (self.ends[s], part)
-                    ok = known.get(pair)
-                    if ok or ok is None and apart(*pair):
-                        top, how, piece = 0.0, (s, got[0]), part
-                        break
-                elif self.best[s] + got[1] > top:
-                    top, how, piece = self.best[s] + got[1], (s, got[0]), part
-            self.best.append(top)
-            self.back.append(how)
-            self.ends.append(piece)
-            if e % (4 * m.longest) == 0:
+        out, often, more = [], 4 * self.model.longest, True
+        while more:
+            more = self._advance(len(self.ends) + often, last)
+            if len(self.ends) > often:
                 out += self._commit()
-                text = self.text
         if last:
-            out += self._path(len(self.text))
-            self._begin(b"")
+            out += self.path(len(self.text))
+            self.text, self.first, self.ends, self.best = bytearray(), [0], [-1], [0.0]
         return out
 
-    def _path(self, e: int) -> list[int]:
-        ids = []
+    def _advance(self, upto: int, last: bool) -> bool:
+        """Make the nodes of the characters held, up to about `upto` bytes; whether there are more."""
+        text, first, ends, best, root, known, m = bytes(self.text), self.first, self.ends, self.best, self.lattice.root, self.lattice.known, self.model
+        e, n, bpe, apart = len(ends) - 1, len(text), m.bpe, self.lattice.stay_apart
+        while e < n:
+            if e >= upto:
+                return True
+            lead, start = text[e], e
+            if lead < 0x80:
+                e += 1
+            else:
+                e += 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                if e > n:
+                    if not last:
+                        return False
+                    e = n
+                for _ in range(e - start - 1):  # places within a character
+                    first.append(0)
+                    ends.append(None)
+                    best.append(-np.inf)
+            node, s, begin, piece, top = root, e, -1, -1, -np.inf
+            if bpe:  # one path at most is alive here
+                while s:
+                    s -= 1
+                    node = node.get(text[s])
+                    if node is None:
+                        break
+                    if 256 in node:
+                        i = node[256][0]
+                        allowed = known.get((ends[s] + 1) << 20 | i)
+                        if allowed or allowed is None and apart(ends[s], i):
+                            begin, piece = s, i
+                            break
+                if begin < 0:
+                    begin = start
+                first.append(begin)
+                ends.append(piece)
+                best.append(0.0)
+                continue
+            while s:
+                s -= 1
+                node = node.get(text[s])
+                if node is None:
+                    break
+                if 256 in node and best[s] + node[256][1] > top:
+                    begin, piece, top = s, node[256][0], best[s] + node[256][1]
+            if best[start] + m.unknown > top and text[start:e] not in m.table:
+                begin, piece, top = start, -1, best[start] + m.unknown
+            first.append(begin)
+            ends.append(piece)
+            best.append(top)
+        return False
+
+    def path(self, e: int) -> list[int]:
+        """The ids of the best path to a node."""
+        ids, first, ends = [], self.first, self.ends
         while e > 0:
-            s, i = self.back[e]
-            ids += [i] if i >= 0 else [int(x) for x in self.model.byte_ids[list(self.text[s:e])][::-1]]
+            s, i = first[e], ends[e]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += [int(x) for x in self.model.byte_ids[list(self.text[s:e])][::-1]]
             e = s
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def _commit(self) -> list[int]:
-        alive = {e for e in range(max(1, len(self.best) - self.model.longest), len(self.best)) if self.best[e] > -np.inf}
+        alive = {e for e in range(max(1, len(self.ends) - self.model.longest), len(self.ends)) if self.ends[e] is not None}
         while len(alive) > 1:
             e = max(alive)
             alive.discard(e)
-            alive.add(self.back[e][0])
+            alive.add(self.first[e])
         at = alive.pop() if alive else 0
         if at <= 0:
             return []
-        ids = self._path(at)
+        ids = self.path(at)
         del self.text[:at]
         base = self.best[at]
-        self.best = [0.0] + [b - base for b in self.best[at + 1 :]]
-        self.back = [(0, -1)] + [(s - at, i) for s, i in self.back[at + 1 :]]
+        # what stands before the text that is left is the piece that ends at the boundary
+        self.first = [0] + [s - at for s in self.first[at + 1 :]]
         self.ends = self.ends[at:]
+        self.best = [0.0] + [b - base for b in self.best[at + 1 :]]
         return ids
 
 
 class Encoder:
-    """Encoding of batches of texts with one model; remembers short segments."""
+    """Encoding of batches of texts with one model; remembers the ids of short segments."""
 
     def __init__(self, model: Pieces):
-        self.model, self.cache = model, {}
-
-    def segment(self, text: bytes) -> list[int]:
-        ids = self.cache.get(text)
-        if ids is None:
-            ids = StreamingViterbi(self.model).feed(text)
-            if len(text) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = ids
-        return ids
+        self.model, self.lattice, self.cache = model, Lattice(model), {}
+
+    def segments(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each segment. New ones are taken in order, so that one that begins as the one before goes on from its nodes."""
+        new = sorted({w for w in words if w not in self.cache})
+        if len(self.cache) + len(new) > 2 * CACHE:
+            self.cache = {w: self.cache[w] for w in words if w in self.cache}
+        stream, before, found = StreamingViterbi(self.lattice), b"", {}
+        for w in new:
+            if len(w) > 64:
+                found[w] = StreamingViterbi(self.lattice).feed(w)
+                continue
+            same, most = 0, min(len(before), len(w))
+            while same < most and before[same] == w[same]:
+                same += 1
+            stream.keep(same)
+            stream.text = bytearray(w)
+            stream._advance(len(w), True)
+            self.cache[w] = stream.path(len(w))
+            before = w
+        return [found[w] if w in found else self.cache[w] for w in words]
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a piece, end to end, and where each text's begin."""
@@ -222,7 +269,7 @@ class Encoder:
         other = _KEYS.spans(_KEYS.of_bytes(buf), starts, ends)
         _, index, inverse = np.unique(_POLY.spans(_POLY.of_bytes(buf), starts, ends) ^ (other << np.uint64(1)), return_index=True, return_inverse=True)
         text = buf.tobytes()
-        lists = [self.segment(text[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist())]
+        lists = self.segments([text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())])
         counts = np.array([len(x) for x in lists], np.int64)
         pool, where, each = np.array([i for x in lists for i in x], np.int32), np.cumsum(counts) - counts, counts[inverse]
         at = np.concatenate([[0], np.cumsum(each)])
