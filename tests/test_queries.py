@@ -267,6 +267,14 @@ def test_commands(spark):
     assert [got[i] for i in range(len(lines))] == [w + "\r\n" for w in want]
 
 
+def test_commands_can_be_added(spark):
+    from pyspark.sql import functions as F
+
+    echo = commands.Command("ECHO", 1, lambda a: commands.bulk(F.array_join(a, " ")), "text")
+    got = {r.n: r.reply for r in commands.replies(spark.createDataFrame([(0, "echo a  bé"), (1, "ECHO"), (2, "set a 1"), (3, "get a")], "n long, command string"), (echo,)).collect()}
+    assert got == {0: "$5\r\na bé\r\n", 1: "-ERR ECHO needs text\r\n", 2: "+OK\r\n", 3: "$1\r\n1\r\n"}
+
+
 def test_range_and_latest_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([(0, "k", 1, 0, 1.0)], LOG).write.parquet(str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
