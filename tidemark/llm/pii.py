@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import hashed_sample, read_table
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
@@ -45,22 +45,38 @@ GENERATORS = {
 #: Cheap tests that a text must pass before the patterns of a kind run on it.
 GUARD = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9](?:\[\.\]|[.,:_])[0-9]", "card": r"[0-9](?:[ ./_-]?[0-9]){12}", "phone": r"[0-9](?:[ ()./-]{0,2}[0-9]){6}|\+[0-9]"}
 FEATURES = ["kind", "digits", "marks", "plus", "bracket", "before", "after", "word", "valid", "dots", "first", "last", "spaces", "groups"]
-_SPAN = "array<struct<s:int,e:int,m:string>>"
+_SPAN = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
 _WORDS = [r"tel|phone|call|fax|mobil", r"card|visa|pay|credit", r"mail|contact", r"\bip\b|host|server|addr", r"order|ref|invoice|version|isbn|date|total|\bno\b"]
 
 
-def find(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, leftmost and not overlapping: array of (s, e, m)."""
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+def _let(value: Column, of) -> Column:
+    """An expression of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def find(text: Column, pattern: str, chunk: int = 128) -> Column:
+    """All matches of a pattern, leftmost and not overlapping: array of (s, e, m, b, a); b and a are up to 16 code points before and one after, as far as no other match reaches.
+
+    Places are summed up in chunks of matches and then over chunks, for an array that grows in an aggregate is copied at each step.
+    """
+    between = F.split(text, pattern, -1)
+    pairs = F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    both = F.zip_with(pairs, F.slice(between, 2, 1 << 30), lambda x, n: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.substring(n, 1, 1).alias("a")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(16)).alias("b"), x["a"].alias("a")))
         return F.struct(e.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def placed(parts: Column) -> Column:
+        before = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = lambda y, o: F.struct((y["s"] + o).alias("s"), (y["e"] + o).alias("e"), y["m"].alias("m"), y["b"].alias("b"), y["a"].alias("a"))
+        return F.flatten(F.zip_with(parts, before, lambda x, o: F.transform(x["out"], lambda y: moved(y, o))))
+
+    in_chunks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / chunk).cast("int")), lambda c: F.aggregate(F.slice(all_, c * chunk + 1, F.lit(chunk)), start, step))
+    return _let(_let(both, in_chunks), placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -102,18 +118,16 @@ def _sound(k: int, m: Column, digits: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
-def _vector(kind: int, text: Column, x: Column) -> Column:
-    m = x["m"]
-    near = F.lower(F.substring(text, F.greatest(x["s"] - 15, F.lit(1)), F.least(x["s"], F.lit(16))))
-    word = F.lit(0)
+def _vector(kind: int, x: Column) -> Column:
+    m, word = x["m"], F.lit(0)
+    near = F.lower(x["b"])
     for i, pattern in reversed(list(enumerate(_WORDS))):
         word = F.when(near.rlike(pattern), i + 1).otherwise(word)
     count = lambda chars: F.length(_only(m, f"[^{chars}]"))
     group = lambda pattern: F.least(F.length(F.regexp_extract(m, pattern, 1)), F.lit(8))
-    before = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit(""))
     return F.array(
         F.lit(kind), F.least(count("0-9"), F.lit(20)), F.least(count(r" ()./,:_-"), F.lit(8)), m.startswith("+").cast("int"), m.rlike(r"[(\[]").cast("int"),
-        _class(before), _class(F.substring(text, x["e"] + 1, F.lit(1))), word, _sound(kind, m, _only(m, "[^0-9]")).cast("int"), F.least(count("."), F.lit(4)),
+        _class(F.right(x["b"], F.lit(1))), _class(x["a"]), word, _sound(kind, m, _only(m, "[^0-9]")).cast("int"), F.least(count("."), F.lit(4)),
         group("^[^0-9]*([0-9]*)"), group("([0-9]*)[^0-9]*$"), F.least(count(" "), F.lit(4)), F.least(F.regexp_count(m, F.lit("[0-9]+")), F.lit(8)),
     )
 
@@ -128,7 +142,7 @@ def _extract(docs: DataFrame, *also) -> DataFrame:
         guard, place = text.rlike(GUARD[kind]), lambda x: (F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
         good = F.filter(find(text, BASE[kind]), lambda x: valid(kind, x["m"]))
         base.append(F.when(guard, F.transform(good, lambda x: F.struct(*place(x)))).otherwise(none))
-        vectors = F.transform(find(text, GENERATORS[kind]), lambda x: F.struct(*place(x), _vector(k, text, x).alias("f")))
+        vectors = F.transform(find(text, GENERATORS[kind]), lambda x: F.struct(*place(x), _vector(k, x).alias("f")))
         cand.append(F.when(guard, vectors).otherwise(F.array().cast("array<struct<k:int,s:int,e:int,f:array<int>>>")))
 
     for k, kind in enumerate(KINDS):
@@ -275,7 +289,7 @@ def train(docs: DataFrame, text_col: str = "text", least_precision: float = 0.97
     """Fit, calibrate and measure on planted texts; snippets are the first 240 code points of at most max_contexts texts."""
     spark = docs.sparkSession
     snippet = docs.select(F.substring(F.col(text_col).cast("string"), 1, 240).alias("t")).where("t is not null")
-    contexts = [r.t for r in snippet.orderBy(F.xxhash64("t"), "t").limit(max_contexts).collect()]
+    contexts = [r.t for r in hashed_sample(snippet, "t", max_contexts).collect()]
     rows = spark.createDataFrame(planted(contexts), "doc_id long, part int, text string, k int, s int, e int, good boolean")
     found = _extract(rows, "part", F.struct("k", "s", "e", "good").alias("item")).selectExpr("part", "item", "explode(cand) AS c").where("c.s < item.e and item.s < c.e")
     # a candidate is right if it is the planted item but for a tenth; one of another kind is wrong
