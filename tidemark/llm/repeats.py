@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Poly, arrow_batches, discard, mix, pieces, spread_join, stage, texts, word_spans
 
 #: A trigger with more different phrases is not held in one task's memory (a phrase is under 600 bytes).
-MANY = 2000
+MANY = 256
 #: One phrase in SAMPLE tells which triggers have many rows: those that it meets HOT times.
 SAMPLE, HOT = 64, 64
 _LOW = np.uint64(0xFFFFFFFF)
