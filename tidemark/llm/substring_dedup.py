@@ -35,7 +35,7 @@ def _kernel(texts_too: bool):
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
         s, size = starts[~gone], ends[~gone] - starts[~gone] + 1
         at = np.concatenate([[0], np.cumsum(size)])
-        out = np.append(buf, np.uint8(32))[np.repeat(s - at[:-1], size) + np.arange(at[-1])] if len(s) else buf[:0]
+        out = np.append(buf, np.uint8(32))[np.repeat(s - at[:-1], size) + np.arange(at[-1])] if len(s) else buf[:0].copy()
         out[at[1:] - 1] = 32  # one space after each word
         word = np.concatenate([[0], np.cumsum(np.diff(first) - removed)])
         text = out.tobytes()
