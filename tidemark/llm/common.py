@@ -104,6 +104,22 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, tot
     return cold.unionByName(left.join(hot, on).select(cold.columns))
 
 
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows, those with the smallest hashes of a column; of a table that is much larger only about 2 n rows are sorted at all, however many tasks read it."""
+    total, h = df.count(), F.xxhash64(F.col(key), F.lit(seed))
+    if total > 4 * n:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * max(2 * n, n + 1000) / total))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(n)
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that none of columns has, in any case."""
+    taken, name = {c.lower() for c in columns}, f"_tidemark_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers that have no copy on their path."""
     sc, parent = spark.sparkContext, Path(__file__).resolve().parents[2]

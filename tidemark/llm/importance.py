@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, discard, mix, pieces, read_table, stage, texts
+from .common import Poly, arrow_batches, discard, hashed_sample, mix, pieces, read_table, stage, texts
 
 BUCKETS = 1 << 16
 #: n-grams of equal probability in both models that every text has besides its own
@@ -103,6 +103,12 @@ def threshold(keys: DataFrame, k: int, few: int = 10_000) -> float:
             return found[k - 1]
 
 
+def gumbel(item: "F.Column", seed: "F.Column") -> "F.Column":
+    """A standard Gumbel variate that hangs on an item and a seed."""
+    uniform = (F.pmod(F.xxhash64(item, seed), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
 def importance_sample(docs: DataFrame, good: DataFrame, keep: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 3, smoothing: float = 1.0, strength: float = 30.0) -> DataFrame:
     """doc_id, log_weight, kept of each input row; kept marks the Gumbel top-k, k = keep times the rows, rounded.
 
@@ -123,8 +129,7 @@ def importance_sample(docs: DataFrame, good: DataFrame, keep: float, id_col: str
                 out.append(strength * np.bincount(d, odds[bucket], j - i).astype(np.float64) / (np.bincount(d, minlength=j - i) + PRIOR))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "log_weight"])
 
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = stage(rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "op3-keys")
+    keyed = stage(rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), F.lit(seed))), "op3-keys")
     limit = threshold(keyed, round(keep * keyed.count()))
     return keyed.select("doc_id", "log_weight", (F.col("key") >= limit).alias("kept"))
 
@@ -134,7 +139,7 @@ def op3_importance(spark: SparkSession, sf_dir: str, max_docs: int = 20_000) ->
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     share = labels.agg(F.avg("quality")).first()[0]
-    ids = labels.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    ids = hashed_sample(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", max_docs).collect()
     picked = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long"))
     good = stage(docs.join(picked, "doc_id", "left_semi").select("text"), "op3-target")
     out = importance_sample(docs, good, 1.0 if share is None else share)

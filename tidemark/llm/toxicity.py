@@ -1,7 +1,7 @@
 """Toxicity (op2): maximum-scoring segment search over token log-odds.
 
 Fit: log-odds of tokens between toxic and clean labelled documents under an informative Dirichlet prior; those whose
-z-score and size are large enough are the model (at most max_features), all other tokens get one small negative drift.
+z-score and size are large enough are the model (no more than the labelled documents have), all other tokens get one small negative drift.
 Score: one linear scan finds all maximal scoring segments of a text (Ruzzo and Tompa). Their scores are set
 against the extreme-value law of segments of clean text, P(S > x) = 1 - exp(-K n exp(-lambda x)) (Karlin and
 Altschul): lambda solves sum p exp(lambda s) = 1, K is fitted on clean documents. The evidence of all
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, discard, pieces, read_table, stage, texts, word_spans
+from .common import Poly, arrow_batches, discard, hashed_sample, pieces, read_table, stage, texts, word_spans
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -162,15 +162,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 60_000, max_features: int = 65_536, least_z: float = 3.5, least_odds: float = 1.0) -> Model:
-    """Learn from the labelled documents; labels has id_col and toxic (0 or 1; null rows are left out).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 60_000, least_z: float = 3.5, least_odds: float = 1.0) -> Model:
+    """Learn from the labelled documents; labels has id_col and toxic (0 or 1; null rows are left out; an id with both labels is toxic).
 
     Without labelled documents, or with one class alone, no token is known and every score is the share of label 1.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
-    ids = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_docs).collect()
+    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    ids = hashed_sample(chosen, "_id", max_docs).collect()
     picked = F.broadcast(spark.createDataFrame([(r._id, r.toxic) for r in ids], "_id long, toxic int"))
     sample = stage(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(picked, "_id").select("toxic", "text"), "op2-sample")
     counts = stage(sample.mapInArrow(_counts, "key long, yes long, no long").groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "op2-counts")
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = F.lit(0.5) + 0.01 * (F.col("yes") + F.col("no"))
     a1, a0 = F.col("yes") + prior, F.col("no") + prior
     odds = counts.select("key", "no", (F.log(a1 / (n1 - F.col("yes"))) - F.log(a0 / (n0 - F.col("no")))).alias("s"), F.sqrt(1 / a1 + 1 / a0).alias("sd"), (a0 / n0).alias("p"))
-    known = odds.where((F.abs(F.col("s") / F.col("sd")) >= least_z) & (F.abs("s") >= least_odds)).orderBy(F.desc(F.abs(F.col("s") / F.col("sd"))), "key").limit(max_features).select("key", "s", "p").collect()
+    known = odds.where((F.abs(F.col("s") / F.col("sd")) >= least_z) & (F.abs("s") >= least_odds)).select("key", "s", "p").orderBy("key").collect()
     keys = np.array([r.key for r in known], np.int64).view(np.uint64)
     order = np.argsort(keys)
     s, p = np.array([r.s for r in known])[order], np.array([r.p for r in known])[order]
@@ -226,7 +226,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is under limit, all columns unchanged; nothing is shuffled."""
+    """The rows of docs whose score is under limit, all columns unchanged; nothing is shuffled.
+
+    Null text is empty, and scored as such. Repeated rows stay or go together. No column but the text is looked at, whatever their names; an empty table stays empty.
+    """
     arrow_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
