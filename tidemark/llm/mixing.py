@@ -4,8 +4,8 @@ Documents are dealt by a hash of their id to shards of their source, laid end to
 blocks of equal tokens. Sources get their blocks by highest quotients of their targets, then the shards of
 a source by highest quotients of their sizes: integer quotas whose sums are exact. In a shard a seeded
 permutation of the block numbers chooses which blocks are taken (once more for a quota above one pass).
-Only sizes of sources and shards reach the driver; the number of shards is bounded by max_shards plus one
-for each source, so no more than that is broadcast.
+Only sizes of sources and shards reach the driver, a row for each: shards are at most max_shards plus one
+for each source. They are broadcast if there are at most most_broadcast sources, and joined by a shuffle if there are more.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, words_of
+from .common import read_table, stage, unused, words_of
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -55,14 +55,14 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5, most: float = 2.0, shard_words: int = 1_000_000, max_shards: int = 8192, seed: int = 7, row_col: str | None = None,
+    share: float = 1.5, most: float = 2.0, shard_words: int = 1_000_000, max_shards: int = 8192, most_broadcast: int = 100_000, seed: int = 7, row_col: str | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken for each input row.
 
     Null text has size 0 and nothing is taken of it; a null source is a source of its own, the last. Rows that
     share an id are laid in one shard, side by side, and each is taken by the blocks it lies in. A null id is an
     id. Other columns are ignored; an empty table gives an empty result. With row_col, a column that tells rows
-    apart, the result has that column and nth too: how many rows of the same id lie before the row in its shard.
+    apart, the result has that column, the source and the shard too.
     """
     spark, row = docs.sparkSession, [] if row_col is None else [row_col]
     sizes = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), *row), "op8")
@@ -73,7 +73,7 @@ def mix_sources(
     block = int(min(1024, max(16, least // 200)))
     shards = [max(1, min(math.ceil(n / shard_words), max(1, max_shards * n // max(total, 1)))) for _, n in per]
     dealt = spark.createDataFrame([(s, n, t, k) for (s, n), t, k in zip(per, targets, shards)], "source string, source_size long, target double, shards int")
-    small = len(per) <= 100_000
+    small = len(per) <= most_broadcast
     deal = lambda left, right, on: left.join(F.broadcast(right) if small else right, on)
     s, d = sizes.alias("s"), dealt.alias("d")
     placed = deal(s, d, F.col("s.source").eqNullSafe(F.col("d.source"))).select(
@@ -95,8 +95,6 @@ def mix_sources(
     table = spark.createDataFrame(quotas, "source string, shard int, blocks long, quota long, step long, shift long")
     order = Window.partitionBy("source", "shard").orderBy("doc_id", "size", *row)
     laid = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if row:
-        laid = laid.withColumn("nth", F.row_number().over(order) - F.rank().over(Window.partitionBy("source", "shard").orderBy("doc_id")))
     p, q = laid.alias("p"), table.alias("q")
     joined = p.join(F.broadcast(q) if small else q, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.shard") == F.col("q.shard")), "left")
     start, end = F.col("end") - F.col("size"), F.col("end")
@@ -109,21 +107,27 @@ def mix_sources(
         (F.col("size") > 0) & F.col("blocks").isNotNull(),
         F.aggregate(F.sequence(F.floor(start / block), F.floor((end - 1) / block)), F.lit(0).cast("long"), lambda acc, j: acc + of_block(j)),
     ).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *row, *(["nth"] if row else []))
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *row, *(["p.source", "p.shard"] if row else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as its taken words come to, rounded up or down by a seeded draw on its id.
+    """The mix itself: each document as many times as its taken words come to, rounded up or down so that the words of a shard come to what the mix takes of it.
 
-    It has the columns of docs. A document of no words stays once. Rows that share an id, null or not, are documents
-    of their own: each has its own plan and draw. A staged table numbers the rows, so that the plan meets its row again.
+    It has the columns of docs, whatever their names. A document of no words (null or empty text) stays once. Rows that share an id, null or not, are documents
+    of their own: each has its own plan. An empty table stays empty. A staged table numbers the rows, so that the plan meets its row again. What is left over
+    of whole copies is rounded along each shard, in order of sizes, from a seeded start: systematic sampling, so a shard is off by about a document.
     """
-    seed = options.get("seed", 7)
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "op8-rows")
-    plan = mix_sources(rows, row_col="_row", **options)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1) + F.col("nth")), F.lit(1 << 20)) / float(1 << 20)
-    times = plan.select("_row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int").alias("_n")).where("_n > 0")
-    return rows.join(times, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
+    seed, key, times = options.get("seed", 7), unused(docs.columns, "row"), unused(docs.columns, "times")
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "op8-rows")
+    plan = mix_sources(rows, row_col=key, **options)
+    share = F.when(F.col("size") == 0, 1.0).otherwise(F.col("taken") / F.col("size"))
+    order = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64("doc_id", F.lit(seed)), key).rowsBetween(Window.unboundedPreceding, 0)
+    whole = plan.select(key, "source", "shard", "size", "doc_id", F.floor(share).alias("whole"), (share - F.floor(share)).alias("rest"))
+    start = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
+    upto = F.sum("rest").over(order) + start
+    rounded = F.floor(upto + 1e-9) - F.floor(upto - F.col("rest") + 1e-9)
+    chosen = whole.select(key, (F.col("whole") + rounded).cast("int").alias(times)).where(F.col(times) > 0)
+    return rows.join(chosen, key).withColumn(key, F.explode(F.sequence(F.lit(1), F.col(times)))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
