@@ -81,6 +81,136 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat), failed
 
 
+def toxic_tokens(text):
+    """Tokens of a text, and what stands for their inflected forms: (word, stem) each, as bytes."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    words_ = re.findall(rb"[0-9a-z\x80-\xff]+", raw)
+    return [(("w", w), ("s", w[:4])) for w in words_]
+
+
+def toxicity(train, texts, least_z=3.5, least_odds=1.0):
+    """Scores of texts by a model fitted on (text, toxic) rows, from the definitions: log-odds, segments, extreme values, a logistic curve."""
+    from math import exp, log, log1p, sqrt
+
+    yes, no = Counter(), Counter()
+    for text, toxic in train:
+        for pair in toxic_tokens(text):
+            for t in pair:
+                (yes if toxic else no)[t] += 1
+    n1, n0 = sum(yes.values()), sum(no.values())
+    score, share = {}, {}
+    for t in set(yes) | set(no):
+        prior = 0.5 + 0.01 * (yes[t] + no[t])
+        a1, a0 = yes[t] + prior, no[t] + prior
+        s = log(a1 / (n1 - yes[t])) - log(a0 / (n0 - no[t]))
+        if abs(s / sqrt(1 / a1 + 1 / a0)) >= least_z and abs(s) >= least_odds:
+            score[t], share[t] = s, a0 / n0
+    whole = max(1.0, sum(share.values()) / 0.9)
+    share = {t: p / whole for t, p in share.items()}
+    drift = -(0.05 + max(0.0, sum(share[t] * score[t] for t in score)))
+    law = [(p, score[t]) for t, p in share.items()] + [(1 - sum(share.values()), drift)]
+    low, high = 1e-3, 1.0
+    f = lambda x: sum(p * exp(min(x * s, 700)) for p, s in law) - 1
+    if max(s for _, s in law) <= 0:
+        rate = 1.0
+    else:
+        while f(high) < 0 and high < 64:
+            high *= 2
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) < 0 else (low, mid)
+        rate = (low + high) / 2
+
+    def segments(text):
+        """All maximal segments by definition: the best one, then the same on both its sides."""
+        values = []
+        for word, stem in toxic_tokens(text):
+            a, b = score.get(word, 0.0), score.get(stem, 0.0)
+            best = a if abs(a) > abs(b) else b
+            values.append(best if best else drift)
+
+        def maximal(v):
+            sums = [0.0]
+            for x in v:
+                sums.append(sums[-1] + x)
+            best = max(((sums[j] - sums[i], i - j, -i) for i in range(len(v)) for j in range(i + 1, len(v) + 1)), default=(0, 0, 0))
+            if best[0] <= 1e-9:
+                return []
+            i = -best[2]
+            j = i - best[1]
+            return [best[0], *maximal(v[:i]), *maximal(v[j:])]
+
+        return len(values), maximal(values)
+
+    seen = [(*segments(text), toxic) for text, toxic in train]
+    clean = [(n, max(v, default=0.0)) for n, v, toxic in seen if not toxic]
+    log_k = sum(rate * b - log(max(n, 1)) for n, b in clean) / len(clean) - 0.5772156649
+    evidence = lambda n, v: log1p(sum(max(0.0, rate * s - log_k - log(max(n, 1))) for s in v))
+    x, y = np.array([evidence(n, v) for n, v, _ in seen]), np.array([float(t) for *_, t in seen])
+    w = np.zeros(2)
+    for _ in range(200):  # Newton's method on the penalised likelihood
+        d = np.stack([x, np.ones_like(x)], 1)
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + 1e-2 * np.eye(2), d.T @ (p - y) + 1e-2 * w)
+    return [1 / (1 + exp(-min(max(w[0] * evidence(*segments(t)) + w[1], -30), 30))) for t in texts]
+
+
+def importance(raw, target, buckets, prior, strength):
+    """Log weights of texts from exact n-gram counts; no two n-grams may share a bucket."""
+    from math import log
+
+    def grams(text):
+        tokens = re.findall(r"\n|[^\W_]+|[^\w\s]+|_+", text or "")
+        marked = [(t, any(i >= b and tokens[i - b] == t for b in (1, 2))) for i, t in enumerate(tokens)]
+        return marked + list(zip(marked, marked[1:]))
+
+    count = [Counter(g for t in texts for g in grams(t)) for texts in (target, raw)]
+    total = [sum(c.values()) + buckets for c in count]
+    odds = lambda g: log((count[0][g] + 1) / total[0]) - log((count[1][g] + 1) / total[1])
+    return [strength * sum(map(odds, g)) / (len(g) + prior) for g in map(grams, raw)]
+
+
+def mixed(rows, weights=(5, 2, 1), share=1.5, most=2.0, seed=7):
+    """(id, source, text) rows with different ids, few enough for one shard a source -> {id: words taken}, word by word."""
+    import heapq
+    from math import ceil, gcd
+
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    docs = {s: sorted((i, len(words(t))) for i, own, t in rows if own == s) for s in sources}
+    size = {s: sum(n for _, n in docs[s]) for s in sources}
+    target, open_, rest = {}, list(sources), share * sum(size.values())
+    while open_:
+        weight = {s: weights[sources.index(s) % len(weights)] for s in open_}
+        part = {s: rest * weight[s] / sum(weight.values()) for s in open_}
+        full = [s for s in open_ if part[s] > most * size[s]]
+        target |= {s: most * size[s] for s in full} if full else part
+        rest -= sum(most * size[s] for s in full)
+        open_ = [s for s in open_ if s not in target]
+    least = min((t for t in target.values() if t > 0), default=0)
+    block = int(min(1024, max(16, least // 200)))
+    blocks = {s: ceil(size[s] / block) for s in sources}
+    quota, heap = dict.fromkeys(sources, 0), [(-target[s], k, s) for k, s in enumerate(sources) if blocks[s]]
+    heapq.heapify(heap)
+    for _ in range(min(round(sum(target.values()) / block), sum(2 * b for b in blocks.values()))):
+        _, k, s = heapq.heappop(heap)
+        quota[s] += 1
+        if quota[s] < 2 * blocks[s]:
+            heapq.heappush(heap, (-target[s] / (2 * quota[s] + 1), k, s))
+    taken = {}
+    for s in sources:
+        n, at = blocks[s], 0
+        if n:
+            step = next(a for a in range(int(0.618 * n) | 1, 2 * n + 3) if gcd(a, n) == 1)
+            shift = hash((seed, 0)) % n
+        for i, words_ in docs[s]:
+            taken[i] = 0
+            for place in range(at, at + words_):
+                j = place // block
+                taken[i] += quota[s] // n + ((step * j + shift) % n < quota[s] % n)
+            at += words_
+    return taken
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

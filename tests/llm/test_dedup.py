@@ -9,7 +9,7 @@ import pytest
 from tidemark.llm import exact_dedup, minhash_dedup, repeats, substring_dedup, suffix_dedup
 
 
-@pytest.mark.parametrize(("many", "batches"), [(2000, 3), (1, 1)])
+@pytest.mark.parametrize(("many", "batches"), [(256, 3), (1, 1)])
 def test_substring(documents, corpus, monkeypatch, many, batches):
     monkeypatch.setattr(repeats, "MANY", many)
     got = substring_dedup.substring_dedup(documents, batches=batches, max_runs=1, with_text=True).orderBy("doc_id").collect()
@@ -17,7 +17,7 @@ def test_substring(documents, corpus, monkeypatch, many, batches):
     assert all(brute.sha(r.kept) == r.kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("many", [2000, 1])
+@pytest.mark.parametrize("many", [256, 1])
 def test_suffix(documents, corpus, monkeypatch, many):
     monkeypatch.setattr(repeats, "MANY", many)
     got = suffix_dedup.suffix_dedup(documents, with_text=True).orderBy("doc_id").collect()
@@ -25,6 +25,37 @@ def test_suffix(documents, corpus, monkeypatch, many):
     assert all(brute.sha(bytes(r.kept)) == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("operator", ["substring", "suffix"])
+def test_triggers_with_many_rows_are_salted(documents, corpus, monkeypatch, operator):
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "HOT", 2)
+    if operator == "substring":
+        got = substring_dedup.substring_dedup(documents).orderBy("doc_id").collect()
+        assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == brute.substring(corpus)
+    else:
+        got = suffix_dedup.suffix_dedup(documents).orderBy("doc_id").collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute.suffix(corpus)
+
+
+def test_texts_of_megabytes(spark):
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(50_000)}"
+    long = [word() for _ in range(300_000)]
+    texts = [" ".join(long), " ".join(long[1000:90_000]), " ".join(word() for _ in range(100)) + " " + " ".join(long[250_000:250_060]), " ".join(long[::-1][:200])]
+    assert len(texts[0]) > 1_700_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == brute.substring(texts)
+    short = [t[:600_000] for t in texts]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute.suffix(short)
+    five = " ".join([*(word() for _ in range(700_000)), *["again"] * 200_000])
+    more = spark.createDataFrame([(1, five), (2, five.replace(" ", "\n")), (3, five + " end")], "doc_id long, text string")
+    assert len(five) > 5_000_000
+    assert [(r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(more).orderBy("doc_id").collect()] == [(1, 2), (1, 2), (3, 1)]
+    assert [r.component_id for r in minhash_dedup.minhash_dedup(more).orderBy("doc_id").collect()] == [1, 1, 1]
+
+
 def test_shared_ids_are_documents_in_order_of_text(doubled, empty):
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(doubled).collect()]
     assert sorted(got, key=str) == sorted([(1, 70, 0), (1, 70, 70), (2, 140, 70), (2, 70, 70), (3, 0, 0), (None, 70, 70), (None, 0, 0)], key=str)
@@ -59,7 +90,12 @@ def test_runs_stay_where_they_are(spark, documents):
     lines = plan.splitlines()
     scan = next(i for i, line in enumerate(lines) if "tidemark_run" in line)
     assert "SortMergeJoin" in plan and "Bucketed: true" in lines[scan]
-    assert not any("Exchange" in line for line in lines[:scan]) and plan.count("Exchange") == 1  # the batch alone is shuffled
+    assert not any("Exchange" in line for line in lines[:scan]) and plan.count("Exchange hashpartitioning") == 1  # the batch alone is shuffled
+    index.add(rows.where("doc >= 20"))
+    assert len(index.runs) == 2 and "Exchange" not in index.merged()._jdf.queryExecution().executedPlan().toString()
+    before = sorted(map(tuple, index.runs[0].unionAll(index.runs[1]).select("g", "c").collect()))
+    index.compact()
+    assert sorted(map(tuple, index.runs[0].select("g", "c").collect())) == before and len(index.runs) == 1
 
 
 def test_exact(documents, corpus, doubled, empty):
@@ -134,3 +170,40 @@ def test_near_chains_and_odd_rows(spark, doubled, empty):
     odd = [(r.doc_id, r.component_id) for r in minhash_dedup.minhash_dedup(doubled).collect()]
     assert sorted(odd, key=str) == sorted([(1, 1), (1, 1), (2, 2), (2, 2), (3, 3), (None, 2), (None, None)], key=str)
     assert minhash_dedup.minhash_dedup(empty).count() == 0
+
+
+def test_a_large_bucket_of_texts_that_are_near_but_not_linked(spark):
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(5000):  # of 118 shingles of the base, each lacks about 18
+        at = rnd.randrange(104)
+        texts.append(base[:at] + [f"t{i}_{k}" for k in range(16)] + base[at + 16 :])
+    linked = {5000 + k: 97 * k for k in range(30)}
+    for i in linked.values():
+        w = list(texts[i])
+        w[0] = w[0] + "x"
+        texts.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.minhash_dedup(docs).collect()}
+    assert got == {i: linked.get(i, i) for i in range(len(texts))}
+
+
+def test_components_of_long_paths(spark):
+    rnd = random.Random(3)
+    names = rnd.sample(range(10_000), 700)
+    edges = list(zip(names[:300], names[1:301])) + [(names[400], x) for x in names[401:600]] + list(zip(names[600:], names[601:]))
+    rnd.shuffle(edges)
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.doc: r.comp for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long").repartition(40)).collect()}
+    assert got == {x: find(x) for x in names if find(x) != x}
+    assert minhash_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import brute
 import numpy as np
@@ -41,6 +42,19 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.score(odd, alone).where("score between 0 and 1").count() == 4
 
 
+def test_toxicity_scores_equal_a_plain_version(spark):
+    docs, labels = _labelled(spark, 160)
+    texts, of = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.where("doc_id is not null and toxic is not null").collect()}
+    model = toxicity.fit(docs, labels.where("doc_id < 120"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = brute.toxicity([(texts[i], of[i]) for i in sorted(of) if i < 120], [texts[i] for i in sorted(texts)])
+    assert [got[i] for i in sorted(texts)] == pytest.approx(want, abs=1e-6)
+    assert len(model.keys) > 3 and len({round(x, 3) for x in want}) > 3
+    both = labels.unionAll(spark.createDataFrame([(1, 1), (4, 0)], labels.schema))  # an id with both labels is toxic
+    again = [toxicity.fit(docs, both.repartition(n)) for n in (1, 3)]
+    assert (again[0].scores == again[1].scores).all() and again[0].bias == again[1].bias
+
+
 def test_segments_are_all_maximal_ones():
     rnd = random.Random(2)
 
@@ -74,6 +88,35 @@ def test_importance(spark, empty):
     assert importance.importance_sample(empty, target, 0.5).count() == 0
 
 
+def test_importance_weights_equal_a_plain_version(spark):
+    rnd = random.Random(7)
+    raw = [" ".join(rnd.choice(["alpha", "beta", "gamma", "x1", "...", "a a a", "end.\n"]) for _ in range(rnd.randint(0, 30))) for _ in range(60)] + [""]
+    target = raw[:15]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    got = importance.importance_sample(docs, spark.createDataFrame([(t,) for t in target], "text string"), 0.5, strength=4.0).collect()
+    want = brute.importance(raw, target, importance.BUCKETS, importance.PRIOR, 4.0)
+    assert [r.log_weight for r in sorted(got, key=lambda r: r.doc_id)] == pytest.approx(want)
+
+
+def test_inclusion_follows_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    weights = [0.0, 1.0, 2.5]
+    keys = spark.range(6000).select("id", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("doc"), F.lit(w).alias("w")) for i, w in enumerate(weights)))).alias("d"))
+    first = keys.groupBy("id").agg(F.max_by("d.doc", F.col("d.w") + importance.gumbel(F.col("d.doc"), F.col("id"))).alias("doc")).groupBy("doc").count().collect()
+    got, total = {r.doc: r["count"] / 6000 for r in first}, sum(np.exp(weights))
+    assert all(abs(got[i] - np.exp(w) / total) < 0.02 for i, w in enumerate(weights))
+
+
+def test_a_hashed_sample_is_bounded_and_repeats(spark):
+    from tidemark.llm.common import hashed_sample
+
+    rows = spark.range(100_000).withColumnRenamed("id", "k")
+    got = [r.k for r in hashed_sample(rows, "k", 500).collect()]
+    assert len(set(got)) == 500 and got == [r.k for r in hashed_sample(rows.repartition(7), "k", 500).collect()]
+    assert hashed_sample(rows.limit(30), "k", 500).count() == 30
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999, 1000])
 def test_threshold_is_the_kth_key(spark, k):
     rnd = random.Random(k)
@@ -139,7 +182,7 @@ def test_apportionment_is_by_highest_quotients():
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 315) == pytest.approx([20, 590 / 3, 295 / 3])
 
 
-def test_mixing(documents, corpus, doubled, empty):
+def test_mixing(spark, documents, corpus, doubled, empty):
     got = mixing.mix_sources(documents).collect()
     size = {i: len(brute.words(t)) for i, t in enumerate(corpus)}
     assert {r.doc_id: r.size for r in got} == size
@@ -152,6 +195,15 @@ def test_mixing(documents, corpus, doubled, empty):
     assert all(abs(taken - target) <= 0.05 * target for target, taken in by.values())
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(documents.repartition(2)).collect()))
     assert mixing.mix_sources(doubled).count() == 7 and mixing.mix_sources(empty).count() == 0
+    sources = {r.doc_id: r.source for r in documents.collect()}
+    assert {r.doc_id: r.taken for r in got} == brute.mixed([(i, sources[i], t) for i, t in enumerate(corpus)])
+    rnd = random.Random(5)
+    more = [(i, rnd.choice(["x", "y", "z", None]), " ".join(["w"] * rnd.choice([0, 1, 30, 400, 5000]))) for i in range(200)]
+    table = spark.createDataFrame(more, "doc_id long, source string, text string")
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(table).collect()} == brute.mixed(more)
+    sharded = mixing.mix_sources(table, shard_words=50_000).collect()
+    assert sum(r.taken for r in sharded) == pytest.approx(1.5 * sum(r.size for r in sharded), rel=0.03) and all(r.taken <= 2 * r.size for r in sharded)
+    assert sorted(map(tuple, mixing.mix_sources(table, shard_words=50_000, most_broadcast=0).collect())) == sorted(map(tuple, sharded))
     mixed = mixing.mixed_documents(documents)
     assert mixed.columns == documents.columns and mixed.groupBy("doc_id").count().where("count > 2").count() == 0
 
@@ -171,6 +223,46 @@ def test_pii(spark, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    rnd = random.Random(2)
+    docs = spark.createDataFrame([(" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "the", "of", "as", "and"]) for _ in range(60)),) for _ in range(1500)], "text string")
+    return pii.train(docs)
+
+
+def test_pii_extras_on_items_the_model_has_not_seen(spark, model):
+    for kind, (recall, precision, n) in model.held_out.items():
+        assert n > 50 and recall >= 0.9 and precision >= 0.95, (kind, model.held_out)
+    rnd = random.Random(99)
+    contexts = [" ".join(rnd.choice(["we", "met", "him", "in", "town", "two", "days", "ago", "it", "was"]) for _ in range(40)) for _ in range(500)]
+    items = pii.planted(contexts, copies=2, seed=77)
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame([(i, t) for i, _, t, *_ in items], "doc_id long, text string"), model=model).collect()}
+    right, extras, wrong, good_items, only_extra = 0, 0, 0, 0, 0
+    for i, _, text, k, s, e, good in items:
+        base = {(b.k, b.s, b.e) for b in found[i].base}
+        assert [f"{pii.KINDS[a]}:{b}:{c}" for a, b, c in sorted(base)] == sorted(brute.pii(text), key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])))
+        hit = lambda x: x[0] == k and 10 * (min(x[2], e) - max(x[1], s)) >= 9 * (max(x[2], e) - min(x[1], s))
+        more = [(x.k, x.s, x.e) for x in found[i].extra]
+        assert all(a[2] <= b[1] for a, b in zip(more, more[1:])) and not any(x[1] < b[2] and b[1] < x[2] for x in more for b in base)
+        extras += len(more)
+        wrong += sum(not (good and hit(x)) for x in more)
+        good_items += good
+        right += good and any(hit(x) for x in [*base, *more])
+        only_extra += good and any(hit(x) for x in more)
+    assert only_extra > 150 and right >= 0.9 * good_items and wrong <= 0.05 * extras
+
+
+def test_pii_is_linear_in_long_runs(spark, model):
+    lines = ["a" * 1_000_000 + " x@y.org", "1" * 1_000_000 + " 1.2.3.4", "x@" + "y." * 500_000 + "z", "1 " * 500_000, "a@b.c " * 5_000, "+1" + "(" * 1_000_000, "4111-1111-1111-1111 " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: [f"{pii.KINDS[x.k]}:{x.s}:{x.e}" for x in r.base] for r in pii.find_pii(docs, model=model).collect()}
+    assert time.monotonic() - began < 100
+    assert got[0] == ["email:1000001:1000008"] and got[1] == ["ip:1000001:1000008"] and got[2] == [f"email:0:{len(lines[2])}"]
+    assert got[3] == [] and got[5] == [] and len(got[4]) == 5000
+    assert got[6] == brute.pii(lines[6])
+
+
 def test_boosting_learns_an_interaction():
     x = np.array([[a, b] for a in range(2) for b in range(2)])
     _, p = pii.boost(x, np.array([40.0, 0, 0, 30]), np.array([0, 50.0, 45, 0]), rounds=60)
