@@ -139,30 +139,60 @@ def encode_batch(base: Column, entries: Column) -> Column:
     return F.unhex(F.concat(F.lit(f"{BATCH_TAG:02x}"), fixed_hex(base, 8), fixed_hex(F.size(entries).cast("long"), 4), F.array_join(entries, "")))
 
 
+def let(value: Column, of) -> Column:
+    """An expression of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _part(data: Column, at: Column, size: Column | int) -> Column:
+    return F.substring(data, at + 1, F.lit(size) if isinstance(size, int) else size)
+
+
+def _fixed_at(data: Column, at: Column | int, width: int) -> Column:
+    """The little-endian integer at a place of a binary; null beyond its end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(at + width <= F.octet_length(data), let(F.hex(_part(data, at, width)), lambda h: read_fixed(h, 0, width)))
+
+
 def decode_batch(record: Column) -> Column:
     """(base, entries of (cf, op, user_key, value)) of the bytes of a write batch; null if its tag is another, an entry is cut off, unknown, or bytes are left over.
 
     Whole or not at all: a torn batch gives no entry.
     """
-    h, n = _hex(record), F.octet_length(record)
     entry = "array<struct<cf:int,op:int,user_key:binary,value:binary>>"
-    start = F.struct(F.lit(13).alias("at"), F.lit(True).alias("ok"), F.array().cast(entry).alias("out"))
-    part = lambda at, size: F.unhex(F.substring(h, 2 * at + 1, 2 * size))
+    begin = F.struct(F.lit(13).alias("at"), F.lit(True).alias("ok"), F.array().cast(entry).alias("out"))
 
-    def step(acc: Column, _: Column) -> Column:
+    def step(acc: Column, data: Column, n: Column) -> Column:
         at = acc["at"]
-        kind, key_size = F.substring(h, 2 * at + 1, F.lit(2)), F.least(read_fixed(h, at + 5, 4), n + 1).cast("int")
-        put, after = kind == f"{PUT_TAG:02x}", at + 9 + key_size
-        value_size = F.when(put, F.least(read_fixed(h, after, 4), n + 1).cast("int")).otherwise(0)
-        end = after + F.when(put, 4 + value_size).otherwise(0)
-        ok = acc["ok"] & (put | (kind == f"{DELETE_TAG:02x}")) & (at + 9 <= n) & (after + F.when(put, 4).otherwise(0) <= n) & (end <= n)
-        one = F.struct(read_fixed(h, at + 1, 4).cast("int").alias("cf"), F.when(put, 0).otherwise(1).alias("op"), part(at + 9, key_size).alias("user_key"), F.when(put, part(after + 4, value_size)).alias("value"))
-        good, bad = F.struct(end.alias("at"), F.lit(True).alias("ok"), F.concat(acc["out"], F.array(one)).alias("out")), F.struct(at.alias("at"), F.lit(False).alias("ok"), acc["out"].alias("out"))
-        return F.when(F.coalesce(ok, F.lit(False)), good).otherwise(bad)
-
-    count = read_fixed(h, 9, 4)
-    # an entry has 9 bytes at least: a count beyond that is torn, and is not walked
-    places = F.when(count > 0, F.sequence(F.lit(1), F.least(count, F.ceil(n / 9)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    done = F.aggregate(places, start, step)
-    head = (n >= 13) & F.startswith(h, F.lit(f"{BATCH_TAG:02x}")) & (count <= F.ceil(n / 9))
-    return F.when(head & done["ok"] & (done["at"] == n), F.struct(read_fixed(h, 1, 8).alias("base"), done["out"].alias("entries")))
+        bad = F.struct(at.alias("at"), F.lit(False).alias("ok"), acc["out"].alias("out"))
+
+        def with_key(x: Column) -> Column:
+            put, after = x["kind"] == f"{PUT_TAG:02x}", at + 9 + x["size"]
+            value_size = F.when(put, F.least(_fixed_at(data, after, 4), n + 1).cast("int")).otherwise(0)
+            return let(F.struct(put.alias("put"), after.alias("after"), value_size.alias("size"), x["kind"].alias("kind"), x["size"].alias("key")), with_value)
+
+        def with_value(y: Column) -> Column:
+            end = y["after"] + F.when(y["put"], 4 + y["size"]).otherwise(0)
+            one = F.struct(_fixed_at(data, at + 1, 4).cast("int").alias("cf"), F.when(y["put"], 0).otherwise(1).alias("op"), _part(data, at + 9, y["key"]).alias("user_key"), F.when(y["put"], _part(data, y["after"] + 4, y["size"])).alias("value"))
+            good = F.struct(end.alias("at"), F.lit(True).alias("ok"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.when(F.coalesce(y["kind"].isin(f"{PUT_TAG:02x}", f"{DELETE_TAG:02x}") & (end <= n), F.lit(False)), good).otherwise(bad)
+
+        head = F.struct(_hex(_part(data, at, 1)).alias("kind"), F.least(_fixed_at(data, at + 5, 4), n + 1).cast("int").alias("size"))
+        return F.when(acc["ok"], let(head, with_key)).otherwise(acc)
+
+    def decoded(r: Column) -> Column:
+        data, n, count = r["data"], r["n"], r["count"]
+        # an entry has 9 bytes at least: a count beyond that is torn, and is not walked
+        places = F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>"))
+        whole = F.aggregate(places, begin, lambda acc, _: step(acc, data, n))
+        return let(whole, lambda done: F.when(done["ok"] & (done["at"] == n), F.struct(_fixed_at(data, 1, 8).alias("base"), done["out"].alias("entries"))))
+
+    data = record.cast("binary")
+    fits = F.startswith(data, F.lit(bytes([BATCH_TAG]))) & (_fixed_at(data, 9, 4) <= F.ceil(F.octet_length(data) / 9))
+    return F.when(F.coalesce(fits, F.lit(False)), let(F.struct(data.alias("data"), F.octet_length(data).alias("n"), _fixed_at(data, 9, 4).alias("count")), decoded))
+
+
+def decoded_entries(record: Column) -> Column:
+    """The entries of a write batch with their sequence numbers: an array of (seq, cf, op, user_key, value), null for what is no whole batch."""
+    numbered = lambda b: F.transform(b["entries"], lambda e, i: F.struct((b["base"] + i).alias("seq"), e["cf"].alias("cf"), e["op"].alias("op"), e["user_key"].alias("user_key"), e["value"].alias("value")))
+    return let(decode_batch(record), numbered)

@@ -203,8 +203,7 @@ def batch_encode(log, spark, sf_dir):
 @query("SELECT batch_id, ordinal, cf, user_key, op, v AS value FROM T", L + ENCODED)
 def batch_decode(log, spark, sf_dir):
     """Encode each batch as bytes, and decode the bytes."""
-    decoded = _records(log).withColumn("b", codec.decode_batch(F.col("record")))
-    return decoded.select("batch_id", F.posexplode("b.entries").alias("i", "e")).select("batch_id", F.col("i").cast("long").alias("ordinal"), "e.cf", F.col("e.user_key").cast("string").alias("user_key"), "e.op", F.col("e.value").cast("string").alias("value"))
+    return _records(log).select("batch_id", F.posexplode(codec.decoded_entries(F.col("record"))).alias("i", "e")).select("batch_id", F.col("i").cast("long").alias("ordinal"), "e.cf", F.col("e.user_key").cast("string").alias("user_key"), "e.op", F.col("e.value").cast("string").alias("value"))
 
 
 @query("SELECT batch_id, CAST(13 + sum(CASE WHEN op = 0 THEN 13 + length(user_key) + 8 ELSE 9 + length(user_key) END) AS BIGINT) AS encoded_bytes FROM L GROUP BY batch_id")

@@ -105,5 +105,4 @@ def read_logs(spark: SparkSession, folder: str, strict: bool = False) -> DataFra
 
 def entries(records: DataFrame) -> DataFrame:
     """The change log in records: cf, user_key, seq, op, value; records that are no whole batch give nothing."""
-    batch = records.withColumn("b", codec.decode_batch(F.col("record"))).where("b is not null")
-    return batch.select("b.base", F.posexplode("b.entries").alias("i", "e")).select("e.cf", "e.user_key", (F.col("base") + F.col("i")).alias("seq"), "e.op", "e.value")
+    return records.select(F.explode(codec.decoded_entries(F.col("record"))).alias("e")).select("e.cf", "e.user_key", "e.seq", "e.op", "e.value")
