@@ -6,6 +6,7 @@ bounded number of bytes, so that a Python worker's memory does not depend on the
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -120,6 +121,19 @@ def unused(columns: list[str], stem: str) -> str:
     return name
 
 
+def frugal(run):
+    """A function over Arrow batches that, once a task is done with it, gives the memory it has freed back to the system: an idle worker stays small."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers that have no copy on their path."""
     sc, parent = spark.sparkContext, Path(__file__).resolve().parents[2]
@@ -134,11 +148,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small, unless the session has chosen a size itself; ship the package."""
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
+    """Keep Arrow batches of whole texts and sets small, in rows and in bytes, unless the session has chosen sizes itself; ship the package."""
     ship_package(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    limits = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limits[0]) == "10000":
+        spark.conf.set(limits[0], str(rows))
+    if spark.conf.get(limits[1], None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(limits[1], size)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

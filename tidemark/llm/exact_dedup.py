@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, read_table, stage
+from .common import arrow_batches, frugal, read_table, stage
 
-MEMORY = 32 << 20
+MEMORY = 8 << 20
 _TO_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _RUN = re.compile(b"  +")
 _NODE = 400  # about what a node takes besides its label
@@ -200,7 +200,7 @@ def _place(*more) -> "F.Column":
 
 def _in_tries(texts: DataFrame, memory: int, *more, bodies: bool = False) -> DataFrame:
     placed = texts.select(_place(*more), "sha", "n_bytes", "rep", "least", "rows", "body")
-    return placed.repartition("place").sortWithinPartitions("place", "body").mapInArrow(_owners(memory, bodies), _OWNED)
+    return placed.repartition("place").sortWithinPartitions("place", "body").mapInArrow(frugal(_owners(memory, bodies)), _OWNED)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY, many: int = 1000) -> DataFrame:
@@ -213,7 +213,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = stage(rows.mapInArrow(_combine(memory), _COMBINED), "op7")
+    both = stage(rows.mapInArrow(frugal(_combine(memory)), _COMBINED), "op7")
     texts, total = both.where("n_bytes is not null"), None
     often = stage(texts.groupBy("n_bytes", "sha").agg(F.count("*").alias("copies")).where(F.col("copies") > many), "op7-often")
     if often.limit(1).count():

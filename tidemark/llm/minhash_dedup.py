@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, discard, mix, pieces, read_table, spread_join, stage, texts, word_spans
+from .common import Poly, discard, frugal, mix, pieces, read_table, spread_join, stage, texts, word_spans
 from .repeats import identified
 from .toxicity import FOLD
 
@@ -74,7 +74,7 @@ def _sign(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = texts(batch.column(2))
-            for i, j in pieces(offsets, 1 << 19):
+            for i, j in pieces(offsets, 1 << 18):
                 h, begin = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 n = np.diff(begin)
                 total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[begin])
@@ -102,13 +102,13 @@ def _asked_sets(width: int):
         for batch in batches:
             buf, offsets = texts(batch.column(1))
             of, asks = np.asarray(batch.column(2).offsets).astype(np.int64), batch.column(2).values
-            for i, j in pieces(offsets, 1 << 19):
+            for i, j in pieces(offsets, 1 << 18):
                 h, begin = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
                 size = np.diff(begin)[row]
                 at = np.concatenate([[0], np.cumsum(size)])
                 # a set that many ask for goes out in several batches
-                cuts = np.unique(np.concatenate([[0], np.searchsorted(at, np.arange(0, at[-1], 1 << 20), "right") - 1, [len(row)]]))
+                cuts = np.unique(np.concatenate([[0], np.searchsorted(at, np.arange(0, at[-1], 1 << 18), "right") - 1, [len(row)]]))
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
                     flat = h[np.repeat(begin[row[lo:hi]] - at[lo:hi], size[lo:hi]) + np.arange(at[lo], at[hi])]
                     lists = pa.ListArray.from_arrays(pa.array((at[lo : hi + 1] - at[lo]).astype(np.int32)), pa.array(flat.view(np.int64)))
@@ -162,8 +162,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     members = pairs.select(F.col("b").alias("doc"), F.struct("a", salt, F.lit(1).alias("kind"), "home").alias("ask"))
     pivots = pairs.select(F.col("a").alias("doc"), F.struct("a", salt, F.lit(0).alias("kind"), F.lit(False).alias("home")).alias("ask")).distinct()
     asks = members.unionAll(pivots).groupBy("doc").agg(F.collect_list("ask").alias("asks"))
-    sets = docs.select("doc", "text").join(asks, "doc").mapInArrow(_asked_sets(width), _ASKED)
-    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_against_pivots(percent), _COMPARED)
+    sets = docs.select("doc", "text").join(asks, "doc").mapInArrow(frugal(_asked_sets(width)), _ASKED)
+    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(frugal(_against_pivots(percent)), _COMPARED)
 
 
 def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) contracted, about a million at a time, to rows (child, root)."""
+    """Edges (a, b) contracted, about a hundred thousand at a time, to rows (child, root)."""
     held, n = [], 0
 
     def out() -> pa.RecordBatch:
@@ -194,7 +194,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
         n += batch.num_rows
-        if n >= 1 << 20:
+        if n >= 1 << 17:
             yield out()
             held, n = [], 0
     if held:
@@ -207,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round contracts what meets in a task; then each child points to its smallest parent's parent, and its other
     parents point to the smallest. Nothing changes once each child has one parent, and that has none.
     """
-    to_forest = lambda e: stage(e.mapInArrow(_forest, "child long, root long"), "op10-forest")
+    to_forest = lambda e: stage(e.mapInArrow(frugal(_forest), "child long, root long"), "op10-forest")
     forest = to_forest(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
     while True:
         low = forest.groupBy("child").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -264,7 +264,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     two pivots. Other columns are ignored; an empty table gives an empty result.
     """
     texts_of, same = identified(docs, id_col, text_col), ["n", "s1", "s2"]
-    sig = stage(texts_of.mapInArrow(_sign(bands, rows, width), "doc long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "op10-signatures")
+    sig = stage(texts_of.mapInArrow(frugal(_sign(bands, rows, width)), "doc long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "op10-signatures")
     first = sig.where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "doc_id", "bands")).alias("r"), F.count("*").alias("rows"))
     classes = stage(first.select(*same, "rows", "r.doc", "r.doc_id", "r.bands"), "op10-classes")
     reps = classes.select("doc", F.explode("bands").alias("key"))

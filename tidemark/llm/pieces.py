@@ -10,7 +10,7 @@ A pass needs only the nodes of the last max_piece bytes, and where all surviving
 one boundary, everything before it is final: its ids are committed and the window starts anew (`StreamingViterbi`).
 A space after something else, if spaces only ever begin pieces, is such a boundary for any text, so a text falls into segments
 whose ids do not depend on each other. Every segment goes through the same streaming pass; a worker keeps the ids of
-about twice CACHE short segments, so a word is encoded once for many occurrences, and one that begins as the one before goes on from its nodes.
+about CACHE short segments, so a word is encoded once for many occurrences, and one that begins as the one before goes on from its nodes.
 
 A space stands for the model's space mark; a literal mark in a text has no piece and is kept as bytes, so decoding gives
 back every text exactly. As in the model's own encoder, one space goes before a text that is not empty.
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, pieces, read_table, texts
+from .common import Poly, arrow_batches, frugal, pieces, read_table, texts
 
 MARK = "▁"
-#: Segments of up to 64 bytes, and pairs of pieces, whose outcome a worker remembers; at the bound it forgets those that it does not need at once.
-CACHE = 1 << 18
+#: Segments of up to 64 bytes whose ids a worker remembers (some 30 MB), and pairs of pieces; at the bound it forgets those that it does not need at once.
+CACHE, PAIRS = 1 << 17, 1 << 18
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _POLY, _KEYS = Poly(51), Poly(52)
 
@@ -103,7 +103,7 @@ class Lattice:
         """Whether merging leaves two neighbouring pieces as they are; -1 is the start, or a character without a piece."""
         m = self.model
         a, b = b"" if left < 0 else m.by_id[left], m.by_id[right]
-        if len(self.known) >= CACHE:
+        if len(self.known) >= PAIRS:
             self.known.clear()
         out = self.known[(left + 1) << 20 | right] = m.merged(a + b) == ([a, b] if a else [b])
         return out
@@ -234,7 +234,7 @@ class Encoder:
     def segments(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each segment. New ones are taken in order, so that one that begins as the one before goes on from its nodes."""
         new = sorted({w for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > 2 * CACHE:
+        if len(self.cache) + len(new) > CACHE:
             self.cache = {w: self.cache[w] for w in words if w in self.cache}
         stream, before, found = StreamingViterbi(self.lattice), b"", {}
         for w in new:
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str
         encoder = Encoder(shared.value)
         for batch in batches:
             buf, offsets = texts(batch.column(1))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, 1 << 18):
                 part, cut = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, begin = encoder.encode(part, cut)
                 back, at = encoder.decode(ids, begin)
@@ -313,7 +313,7 @@ def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids)), pa.array(np.diff(begin)), pa.array(same)], names=["doc_id", "ids", "n_ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    return rows.mapInArrow(frugal(run), "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batches, discard, hashed_sample, pieces, read_table, stage, texts, word_spans
+from .common import Poly, arrow_batches, discard, frugal, hashed_sample, pieces, read_table, stage, texts, word_spans
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())])))], names=["doc_id", "score", "passages"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, passages array<struct<start:long,end:long,evidence:double>>")
+    return rows.mapInArrow(frugal(run), "doc_id long, score double, passages array<struct<start:long,end:long,evidence:double>>")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -243,7 +243,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float =
                     good.append(1 / (1 + math.exp(-min(max(x, -30), 30))) < limit)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> "F.Column":
