@@ -26,6 +26,10 @@ from .common import discard, read_table, stage
 from .repeats import BYTES, covered, finish, identified, phrase_table, repeated
 
 
+#: A trigger with more different phrases has its windows told apart by an aggregation. A phrase has up to 337 windows, each a row there, so the bound is higher than for words.
+MANY = 2000
+
+
 def _kernel(texts_too: bool):
     def run(ids, buf, offsets, d, start, n) -> pa.RecordBatch:
         gone = covered(len(buf), offsets, d, start, n, BYTES.win)
@@ -52,7 +56,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = identified(docs, id_col, text_col)
     parse = stage(phrase_table(rows, BYTES), "op4-parse")
-    ranges, walked = repeated(parse, rows.withColumn("old", F.lit(False)), BYTES, keep_first=False)
+    ranges, walked = repeated(parse, rows.withColumn("old", F.lit(False)), BYTES, keep_first=False, many=MANY)
     discard(parse, walked)
     return finish(rows, ranges, BYTES, _kernel(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
